@@ -1,0 +1,6 @@
+"""All queries of the engine's own operators, and their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
