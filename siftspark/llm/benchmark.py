@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftspark.llm.common import let
+from siftspark.llm.common import durable, let
 
 WIDTH = 8
 #: A document is contaminated by an item if this share of the item's windows is found, or RUN windows.
@@ -29,18 +29,24 @@ def values(text: Column) -> Column:
     """The text with each number and unit as one word of its own, for what stands behind placeholders."""
     whole = F.regexp_replace(text, r"(?<=[0-9])[.,](?=[0-9])", "x")
     apart = F.regexp_replace(whole, rf"(?i)\b([0-9][0-9x]*)\s*({'|'.join(UNITS.split())}|%)(?![\p{{L}}\p{{N}}])", "$1 $2 ")
-    return F.when(text.rlike("[0-9]"), F.replace(apart, F.lit("%"), F.lit("percent"))).otherwise(text)
+    return F.replace(apart, F.lit("%"), F.lit("percent"))
 
 
-def template(values_: Column) -> Column:
-    """The lower-cased text of values() with placeholders. A name is a capitalised word inside a sentence."""
-    unit = F.regexp_replace(values_, rf"(?i)\b[0-9][0-9x]*\s+(?:{'|'.join(UNITS.split())})\b", f"{NUMBER} {UNIT}")
-    number = F.when(values_.rlike("[0-9]"), F.regexp_replace(unit, r"\b[0-9][0-9x]*\b", NUMBER)).otherwise(values_)
-    return F.lower(F.regexp_replace(number, r"(?<=[\p{Ll},] )\p{Lu}[\p{L}\p{N}]*", NAME))
+def template(text: Column) -> Column:
+    """The text with placeholders for numbers, units and names; a name is a capitalised word inside a sentence."""
+    unit = F.regexp_replace(values(text), rf"(?i)\b[0-9][0-9x]*\s+(?:{'|'.join(UNITS.split())})\b", f"{NUMBER} {UNIT}")
+    number = F.regexp_replace(unit, r"\b[0-9][0-9x]*\b", NUMBER)
+    name = lambda t: F.regexp_replace(t, r"(?<=[\p{Ll},] )\p{Lu}[\p{L}\p{N}]*", NAME)
+    return F.when(text.rlike("[0-9]"), name(number)).otherwise(name(text))
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Lower-cased words; the first and last may be empty, which no other word equals."""
+    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+
+
+def whole(tokens: Column) -> Column:
+    return F.filter(tokens, lambda w: w != "")
 
 
 def _windows(tokens: Column, width: int) -> Column:
@@ -58,31 +64,39 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataF
     Items shorter than `width` words are one window of their own length. Null or empty texts match nothing; rows with a
     null id are left out; rows that repeat an id count as one text. Other columns are not read.
     """
-    own = items.where("item_id is not null and text is not null").select("item_id", values(F.col("text")).alias("v"))
-    own = own.select("item_id", words(F.col("v")).alias("raw"), words(template(F.col("v"))).alias("tokens")).where(F.size("tokens") > 0)
+    own = items.where("item_id is not null and text is not null").select("item_id", whole(words(values(F.col("text")))).alias("raw"), whole(words(template(F.col("text")))).alias("tokens"))
+    own = own.where(F.size("tokens") > 0)
     own = own.withColumn("width", F.least(F.lit(width), F.size("tokens")))
     literal = lambda t: F.size(F.filter(t, lambda w: ~w.isin(NUMBER, UNIT, NAME)))
     part = F.posexplode(F.transform(F.sequence(F.lit(1), F.size("tokens") - F.col("width") + 1), lambda i: F.struct(F.slice("tokens", i, F.col("width")).alias("t"), F.slice("raw", i, F.col("width")).alias("r"))))
     own = own.select("item_id", "width", part.alias("at", "w")).select("item_id", "width", "at", F.col("w.t").alias("t"), F.col("w.r").alias("r"))
     own = own.where(literal(F.col("t")) >= F.least(F.lit(LITERAL), F.col("width"))).select("item_id", "width", "at", "r", "t", F.xxhash64("t").alias("h"))
+    own = durable(own.withColumn("typed", literal(F.col("t")) < F.col("width")), "windows")
     total = own.groupBy("item_id").agg(F.count("*").alias("total"))
     n = own.count()
-    widths = sorted(r[0] for r in own.select("width").distinct().collect())  # at most `width` of them
-    found = None
-    for w in widths:
-        bench = own.where(F.col("width") == w).select("item_id", "at", "r", "t", F.col("h").alias("bh"))
-        bench = F.broadcast(bench) if n <= FEW else bench
-        read = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-        cut = read.select("doc_id", "text", F.posexplode(_windows(words(template(values(F.col("text")))), w)).alias("i", "h"))
-        hit = cut.join(bench, F.col("h") == F.col("bh"))
-        there = F.slice(words(values(F.col("text"))), F.col("i") + 1, w)
-        pairs = F.filter(F.arrays_zip(F.col("t"), F.col("r").alias("x"), there.alias("y")), lambda z: z["t"].isin(NUMBER, UNIT, NAME))
-        hit = hit.select("doc_id", "item_id", "at", F.transform(pairs, lambda z: F.struct(z["x"].alias("x"), z["y"].alias("y"))).alias("slots"))
-        found = hit if found is None else found.unionByName(hit)
-    if found is None:
+    small = F.broadcast if n <= FEW else (lambda df: df)
+    read = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    hits = None
+    for w in [r[0] for r in own.select("width").distinct().orderBy("width").collect()]:  # at most `width` of them
+        cut = read.select("doc_id", F.posexplode_outer(_windows(words(template(F.col("text"))), w)).alias("i", "h"))
+        bench = own.where(F.col("width") == w).select("item_id", "width", "at", "typed", "h")
+        hit = cut.join(small(bench), "h").select("doc_id", "item_id", "width", "at", "typed", "h", "i")
+        hits = hit if hits is None else hits.unionByName(hit)
+    if hits is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, windows long, share double, consistency double")
+    hits = durable(hits, "hits")
+    # what stands behind placeholders is read again, of the documents that need it
+    asked = hits.where("typed").groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "at", "width", "h", "i")).alias("asked"))
+    asked = small(asked) if hits.where("typed").select("doc_id").distinct().count() <= FEW // 20 else asked
+    texts = read.join(asked, "doc_id").select("doc_id", "asked", words(values(F.col("text"))).alias("raw"), words(template(F.col("text"))).alias("tokens"))
+    cut = lambda name: F.slice(name, F.col("a.i") + 1, F.col("a.width"))
+    there = texts.select("doc_id", "raw", "tokens", F.explode("asked").alias("a")).select("doc_id", "a.item_id", "a.at", F.col("a.h").alias("h"), cut("raw").alias("y"), F.xxhash64(cut("tokens")).alias("g")).where("g = h")
+    zipped = there.join(small(own.select("item_id", "at", "t", "r")), ["item_id", "at"])
+    pairs = F.filter(F.arrays_zip("t", "r", "y"), lambda z: z["t"].isin(NUMBER, UNIT, NAME))
+    pairs = zipped.select("doc_id", "item_id", "at", F.transform(pairs, lambda z: F.struct(z["r"].alias("x"), z["y"].alias("y"))).alias("slots"))
+    bare = hits.where("not typed").select("doc_id", "item_id", "at", F.array().cast("array<struct<x:string,y:string>>").alias("slots"))
     # one row a window of an item first: a passage that repeats in a document, or in many rows of it, stays one row
-    once = found.groupBy("doc_id", "item_id", "at").agg(F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    once = bare.unionByName(pairs).groupBy("doc_id", "item_id", "at").agg(F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     met = once.groupBy("doc_id", "item_id").agg(F.count("*").alias("windows"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
     sources = F.size(F.array_distinct(F.transform("slots", lambda s: s.x)))
     kinds = F.greatest(F.size("slots"), F.lit(1))

@@ -7,9 +7,14 @@ without a header of its own inherits the licence of the nearest ancestor directo
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftspark.llm.common import durable, let
+
 THRESHOLD = 0.5
 #: Headers over so many characters are no notices but prose that mentions a licence; whole files are exempt.
 LINE = 2000
@@ -29,10 +34,14 @@ TEMPLATES = {
     "Proprietary": "All rights reserved.",
     "Unlicense": "This is free and unencumbered software released into the public domain, Unlicense.",
 }
-CUES = r"(?i)licen[cs]e|copyright|rights reserved|public domain|redistribution|spdx|\bCC0?\b"
+CUES = ("licens", "licenc", "copyright", "rights reserved", "public domain", "redistribution", "spdx", "cc0", "cc by")
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[cs]e|copying|unlicense)(?:\.[a-z0-9]+)?$"
 
 
+def has_cue(text: Column) -> Column:
+    return let(F.lower(text), lambda t: reduce(or_, [F.contains(t, F.lit(c)) for c in CUES]))
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
@@ -49,9 +58,9 @@ def headers(files: DataFrame) -> DataFrame:
     """(path, text, whole): lines with a licence cue, and licence files as a whole."""
     named = F.col("path").rlike(LICENCE_FILE)
     some = files.where(F.col("path").isNotNull() & F.col("text").isNotNull())
-    cued = some.where(F.col("text").rlike(CUES))
-    lines = cued.select("path", F.explode(F.split("text", r"\r\n|[\r\n]")).alias("text"), F.lit(False).alias("whole"))
-    lines = lines.where(F.col("text").rlike(CUES) & (F.length("text") <= LINE))
+    cued = some.where(has_cue(F.col("text")))
+    lines = cued.select("path", F.explode_outer(F.split("text", r"\r\n|[\r\n]")).alias("text"), F.lit(False).alias("whole"))
+    lines = lines.where(has_cue(F.col("text")) & (F.length("text") <= LINE))
     return lines.unionByName(some.where(named).select("path", "text", F.lit(True).alias("whole")))
 
 
@@ -60,7 +69,7 @@ def detect(files: DataFrame, templates: dict[str, str] | None = None, threshold:
     first name. Equal headers are compared once, however many files share them."""
     spark = files.sparkSession
     model = spark.createDataFrame(sorted((templates or TEMPLATES).items()), "license string, text string")
-    found = headers(files).withColumn("h", F.xxhash64("text", F.lower("text")))
+    found = durable(headers(files).withColumn("h", F.xxhash64("text", F.lower("text"))), "headers")  # read once, used thrice
     kinds = found.groupBy("h").agg(F.min("text").alias("text"), F.count("*").alias("n"))
     count = kinds.agg(F.sum("n").alias("all_n"))
     df = kinds.select("n", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
@@ -83,7 +92,7 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: f
     Null paths are left out; null and empty texts have no header; several rows of one path count as one file with all
     their headers; other columns are not read. An empty table gives none.
     """
-    own = detect(files, templates, threshold)
+    own = durable(detect(files, templates, threshold), "licences")
     paths = files.where("path is not null").select("path").distinct()
     folder = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", r"/[^/]*$", "")).otherwise(F.lit(""))
     given = own.where(F.col("path").rlike(LICENCE_FILE)).select(folder.alias("dir"), "license", "score")
