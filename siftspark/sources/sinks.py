@@ -1,0 +1,66 @@
+"""Sinks: JSON, SARIF, HTML, text and audit reports. Findings are written by the executors; only sums reach the driver."""
+
+from __future__ import annotations
+
+import hashlib
+import html
+import json
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from siftspark.functions import text as T
+from siftspark.operators import findings as A
+
+
+def masked(findings: DataFrame) -> DataFrame:
+    return findings.withColumn("match", T.redact(F.col("match")))
+
+
+def json_lines(findings: DataFrame, mask: bool = True) -> DataFrame:
+    rows = masked(findings) if mask else findings
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+
+
+def sarif_result(type_: Column, file: Column, line: Column, match: Column) -> Column:
+    rule = F.when(type_.startswith("PII"), "OSS002").otherwise("OSS001")
+    place = F.struct(F.struct(F.struct(file.alias("uri")).alias("artifactLocation"), F.struct(F.coalesce(line, F.lit(1)).alias("startLine")).alias("region")).alias("physicalLocation"))
+    return F.struct(rule.alias("ruleId"), F.lit("error").alias("level"), F.struct(F.concat(type_, F.lit(": "), T.redact(match)).alias("text")).alias("message"), F.array(place).alias("locations"))
+
+
+def sarif_results(findings: DataFrame) -> DataFrame:
+    return findings.select(F.to_json(sarif_result(F.col("type"), F.col("file"), F.col("line"), F.col("match"))).alias("value"))
+
+
+def sarif(results: list[str]) -> str:
+    """The envelope of results that json strings hold; for reports of a size that a reader takes."""
+    rules = [{"id": "OSS001", "name": "Secret"}, {"id": "OSS002", "name": "PersonalData"}]
+    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": "siftspark", "rules": rules}}, "results": [json.loads(r) for r in results]}]}, indent=2)
+
+
+def summary(findings: DataFrame) -> dict:
+    row = A.totals(findings).first()
+    return row.asDict() if row else {}
+
+
+def text_report(findings: DataFrame, top: int = 10) -> str:
+    s = summary(findings)
+    kinds = "\n".join(f"  {r['type']}: {r['n']}" for r in A.top_types(findings, top).collect())
+    return f"Safety score {s.get('safety_score')} ({s.get('risk_label')}), {s.get('total_issues')} issues\n{kinds}\n"
+
+
+def html_report(findings: DataFrame, top: int = 100) -> str:
+    rows = "".join("<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r) + "</tr>" for r in masked(findings).orderBy("file", "line", "type").select("type", "file", "line", "match").limit(top).collect())
+    s = summary(findings)
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>Findings</title></head><body><h1>Safety score {s.get('safety_score')}</h1><table>{rows}</table></body></html>"
+
+
+def audit(findings: DataFrame) -> dict:
+    """Sums with a SHA-256 over their sorted JSON."""
+    body = summary(findings) | {"files": findings.select("file").distinct().count()}
+    return {"summary": body, "sha256": hashlib.sha256(json.dumps(body, sort_keys=True, indent=2).encode()).hexdigest()}
+
+
+def verify_audit(report: dict) -> bool:
+    body = json.dumps(report.get("summary"), sort_keys=True, indent=2)
+    return report.get("sha256") == hashlib.sha256(body.encode()).hexdigest()
