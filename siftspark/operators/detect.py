@@ -57,7 +57,7 @@ def scan(rows: DataFrame, content: str = "content", secrets: dict | None = None,
     c, low = F.col(content), F.lower(F.col(content))
     secrets, pii, injections = P.SECRETS if secrets is None else secrets, P.PII if pii is None else pii, P.INJECTIONS if injections is None else injections
     hits = _hits(c, low, "secret", secrets)
-    if base64:
+    if base64 and secrets:
         hits.append(decoded_secrets(c, secrets))
     for k, w in enumerate(words or []):
         found = F.regexp_extract_all(c, F.lit(r"(?i)\Q" + w.replace(r"\E", r"\E\\E\Q") + r"\E"), F.lit(0))

@@ -126,7 +126,7 @@ def test_archives(spark):
     with zipfile.ZipFile(z, "w") as f:
         f.writestr("DataModelSchema", "AIza")
     rows = spark.createDataFrame([("i", outer.getvalue()), ("bad", b"xx")], "label string, content binary")
-    assert {r.label for r in code.unpack(rows, "tar").collect()} == {"i::layer.tar::etc/a", "bad"}
+    assert {r.label for r in code.unpack(rows, "tar").collect()} == {"i::etc/a", "bad"}
     assert [r.label for r in code.unpack(spark.createDataFrame([("p.pbix", z.getvalue())], "label string, content binary"), "zip").collect()] == ["p.pbix/DataModelSchema"]
 
 
