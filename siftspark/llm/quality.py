@@ -70,7 +70,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grade: str = "
     graded = labels.select(F.col("doc_id").alias("id"), F.col(grade).cast("int").alias("grade")).dropna().groupBy("id").agg(F.max("grade").alias("grade"))
     n = graded.count()
     chosen = graded.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 20)) < min(1.0, sample / max(1, n)) * (1 << 20))
-    rows = docs.select(F.col("doc_id").alias("id"), "text").where("text is not null").join(chosen, "id")
+    rows = docs.select(F.col("doc_id").alias("id"), "text").where("text is not null").join(F.broadcast(chosen), "id")  # about `sample` rows of two numbers
 
     def counts(frames):
         for f in frames:
