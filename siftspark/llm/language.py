@@ -95,8 +95,12 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
             yield pd.DataFrame(out, columns=["lang", "at", "share"])
 
     read = rows.select(F.col(doc_id).cast("string").alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    got = read.select("lang", "text").mapInPandas(counts, "lang string, at array<int>, share array<double>").toPandas()
-    got = [(a, np.asarray(b), np.asarray(c)) for a, b, c in zip(got["lang"], got["at"], got["share"], strict=True)]
+    got = read.select("lang", "text").mapInPandas(counts, "lang string, at array<int>, share array<float>").toArrow().combine_chunks()
+    if not len(got):
+        return train([])
+    at, share = (got.column(c).chunk(0) for c in ("at", "share"))  # views of two flat arrays, no object a row
+    ends, at, share = at.offsets.to_numpy(), at.values.to_numpy(), share.values.to_numpy()
+    got = [(lang, at[a:b], share[a:b]) for lang, a, b in zip(got.column("lang").to_pylist(), ends[:-1], ends[1:], strict=True)]
     return train(sorted(got, key=lambda r: (r[0], len(r[1]), r[1][:50].tolist(), float(r[2][0]))))
 
 
