@@ -92,6 +92,12 @@ def digits_of(text: str) -> str:
     return "".join(c for c in text if c in DIGITS)
 
 
+def octet(digits: str) -> bool:
+    """At most 255; the run may be longer than int() takes."""
+    low = digits.lstrip("0")
+    return len(low) < 4 and int(low or 0) <= 255
+
+
 def luhn(digits: str) -> bool:
     double = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
     return sum(double[int(c)] if k % 2 else int(c) for k, c in enumerate(reversed(digits))) % 10 == 0
@@ -189,7 +195,7 @@ def find(text) -> dict[str, list[tuple[int, int]]]:
             if last >= ip and last >= run:
                 if x := quad_from(text, last):
                     ip = x[1]
-                    if all(int(p) <= 255 for p in text[x[0] : x[1]].split(".")):
+                    if all(octet(p) for p in text[x[0] : x[1]].split(".")):
                         out["ip"].append(x)
             if last >= run:
                 run = _run(text, last, DIGITS)
