@@ -111,6 +111,11 @@ def test_pii_base(text):
     assert all(found[k] == [m.span() for m in re.finditer(p, text) if RIGHT[k](m[0])] for k, p in KINDS.items())
 
 
+def test_pii_long_runs_of_digits():
+    assert pii.find("9" * 6000 + ".1.1.1")["ip"] == []
+    assert pii.find("0" * 6000 + "7.1.1.255")["ip"] == [(0, 6009)]
+
+
 def test_pii(spark):
     t = "call +49 30 1234567, a@b.co, 4111 1111 1111 1111, IBAN DE89370400440532013000, 12 Long Hill Road, account no 12345678, http://u:p@h.org/x 10.0.0.1"
     rows = {r.doc_id: r for r in pii.personal_data(table(spark, [t, None, "", "clean text"])).collect()}
