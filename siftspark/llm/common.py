@@ -30,7 +30,7 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
     """Cuts lineage: writes `df` as a table in the shared folder and reads it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siftspark/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._durable_path = path
     return out

@@ -172,6 +172,8 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _runs(base: DataFrame, window: int) -> DataFrame:
+    """(id, key, place, h, whole): place holds the first window start, how many follow, and how far on the anchor is."""
+
     def find(frames):
         powers = Powers()
         for part in frames:
@@ -184,14 +186,15 @@ def _runs(base: DataFrame, window: int) -> DataFrame:
                 runs = anchored_runs(np.frombuffer(b"".join(texts[k] for k in own), np.uint8), starts, powers, window)
                 if runs is not None:
                     d, a, p, q, h, whole = runs
-                    yield pd.DataFrame({"id": ids[own[d]], "key": keys[own[d]], "a": a.astype(np.int32), "p": p.astype(np.int32), "q": q.astype(np.int32), "h": h.view(np.int64), "whole": whole.view(np.int64)})
+                    place = p.astype(np.int64) << 32 | (q - p) << 16 | (a - p)
+                    yield pd.DataFrame({"id": ids[own[d]], "key": keys[own[d]], "place": place, "h": h.view(np.int64), "whole": whole.view(np.int64)})
 
-    return base.where(F.octet_length("text") >= window).mapInPandas(find, "id long, key long, a int, p int, q int, h long, whole long")
+    return base.where(F.octet_length("text") >= window).mapInPandas(find, "id long, key long, place long, h long, whole long")
 
 
 def _contexts(open_runs: DataFrame, base: DataFrame, window: int) -> DataFrame:
     """(core, l, r, id, key, at): the bytes left and right of a core, and where in the document they start."""
-    wanted = open_runs.groupBy("id", "key").agg(F.collect_set(F.expr("shiftleft(cast(p as long), 32) + shiftleft(cast(q - p as long), 16) + (a - p)")).alias("runs"))
+    wanted = open_runs.groupBy("id", "key").agg(F.collect_set("place").alias("runs"))
 
     def cut(frames):
         digest = xxhash.xxh3_128_digest
@@ -276,11 +279,14 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """(id, key, p, q): windows that start at p to q occur elsewhere too; rows may overlap."""
     base = _keyed(docs, doc_id, text)
     runs = durable(_runs(base, window), "runs")
-    one = F.min(F.struct("id", "key", "a", "p", "q")).alias("one")
-    kinds = durable(runs.groupBy("h", "whole").agg(F.count("*").alias("n"), one), "kinds")
+    # of one row each: every first() of a group is taken from the row that comes first, and any row of it will do
+    one = [F.first(c).alias(c) for c in ("id", "key", "place")]
+    kinds = durable(runs.groupBy("h", "whole").agg(F.count("*").alias("n"), *one), "kinds")
     anchors = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
-    contexts = durable(_contexts(kinds.join(anchors, "h").select("one.*"), base, window), "contexts")
-    same = runs.join(kinds.where("n > 1").select("h", "whole"), ["h", "whole"]).select("id", "key", "p", "q")
+    contexts = durable(_contexts(kinds.join(anchors, "h").select("id", "key", "place"), base, window), "contexts")
+    same = runs.join(kinds.where("n > 1").select("h", "whole"), ["h", "whole"])
+    p = F.shiftright("place", 32).cast("int")
+    same = same.select("id", "key", p.alias("p"), (p + F.shiftright("place", 16).bitwiseAND(F.lit(0xFFFF)).cast("int")).alias("q"))
     return same.unionByName(_decided(contexts, window).select("id", "key", "p", F.col("p").alias("q")))
 
 
