@@ -6,7 +6,7 @@ template words are hash-joined between items and documents; what the placeholder
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftspark.llm.common import durable, let
@@ -61,6 +61,10 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataF
     """Returns (doc_id, item_id, windows long, share double, consistency double) for each document and item whose
     windows match.
 
+    Share and consistency are those of one occurrence: an item's place in a text (document word less item word), places
+    at most `width` words apart (an edited copy), or all places of the document. A document is named if any of them
+    passes, by the one with the most windows; so another place of the same template spoils no copy.
+
     Items shorter than `width` words are one window of their own length. Null or empty texts match nothing; rows with a
     null id are left out; rows that repeat an id count as one text. Other columns are not read.
     """
@@ -78,30 +82,38 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataF
     read = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     hits = None
     for w in [r[0] for r in own.select("width").distinct().orderBy("width").collect()]:  # at most `width` of them
-        cut = read.select("doc_id", F.posexplode_outer(_windows(words(template(F.col("text"))), w)).alias("i", "h"))
+        cut = read.select("doc_id", F.xxhash64("text").alias("part"), F.posexplode_outer(_windows(words(template(F.col("text"))), w)).alias("i", "h"))
         bench = own.where(F.col("width") == w).select("item_id", "width", "at", "typed", "h")
-        hit = cut.join(small(bench), "h").select("doc_id", "item_id", "width", "at", "typed", "h", "i")
+        hit = cut.join(small(bench), "h").select("doc_id", "part", "item_id", "width", "at", "typed", "h", "i")
         hits = hit if hits is None else hits.unionByName(hit)
     if hits is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, windows long, share double, consistency double")
     hits = durable(hits, "hits")
     # what stands behind placeholders is read again, of the documents that need it
-    asked = hits.where("typed").groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "at", "width", "h", "i")).alias("asked"))
+    asked = hits.where("typed").groupBy("doc_id", "part").agg(F.collect_set(F.struct("item_id", "at", "width", "h", "i")).alias("asked"))
     asked = small(asked) if hits.where("typed").select("doc_id").distinct().count() <= FEW // 20 else asked
-    texts = read.join(asked, "doc_id").select("doc_id", "asked", words(values(F.col("text"))).alias("raw"), words(template(F.col("text"))).alias("tokens"))
+    texts = read.withColumn("part", F.xxhash64("text")).join(asked, ["doc_id", "part"]).select("doc_id", "part", "asked", words(values(F.col("text"))).alias("raw"), words(template(F.col("text"))).alias("tokens"))
     cut = lambda name: F.slice(name, F.col("a.i") + 1, F.col("a.width"))
-    there = texts.select("doc_id", "raw", "tokens", F.explode("asked").alias("a")).select("doc_id", "a.item_id", "a.at", F.col("a.h").alias("h"), cut("raw").alias("y"), F.xxhash64(cut("tokens")).alias("g")).where("g = h")
+    there = texts.select("doc_id", "part", "raw", "tokens", F.explode("asked").alias("a")).select("doc_id", "part", "a.item_id", "a.at", "a.i", F.col("a.h").alias("h"), cut("raw").alias("y"), F.xxhash64(cut("tokens")).alias("g")).where("g = h")
     zipped = there.join(small(own.select("item_id", "at", "t", "r")), ["item_id", "at"])
     pairs = F.filter(F.arrays_zip("t", "r", "y"), lambda z: z["t"].isin(NUMBER, UNIT, NAME))
-    pairs = zipped.select("doc_id", "item_id", "at", F.transform(pairs, lambda z: F.struct(z["r"].alias("x"), z["y"].alias("y"))).alias("slots"))
-    bare = hits.where("not typed").select("doc_id", "item_id", "at", F.array().cast("array<struct<x:string,y:string>>").alias("slots"))
-    # one row a window of an item first: a passage that repeats in a document, or in many rows of it, stays one row
-    once = bare.unionByName(pairs).groupBy("doc_id", "item_id", "at").agg(F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    met = once.groupBy("doc_id", "item_id").agg(F.count("*").alias("windows"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
+    pairs = zipped.select("doc_id", "part", "item_id", "at", "i", F.transform(pairs, lambda z: F.struct(z["r"].alias("x"), z["y"].alias("y"))).alias("slots"))
+    bare = hits.where("not typed").select("doc_id", "part", "item_id", "at", "i", F.array().cast("array<struct<x:string,y:string>>").alias("slots"))
+    # one row a window of an item at a place first: what repeats in many rows of a document stays one row
+    once = bare.unionByName(pairs).groupBy("doc_id", "part", "item_id", "at", (F.col("i") - F.col("at")).alias("place")).agg(F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    by = Window.partitionBy("doc_id", "part", "item_id").orderBy("place")
+    near = once.withColumn("apart", F.coalesce((F.col("place") - F.lag("place").over(by) > width).cast("int"), F.lit(0)))
+    near = near.withColumn("run", F.sum("apart").over(by))  # equal places are peers: one of them may be apart, all get the sum
+    key = lambda kind, part, k: F.struct(F.lit(kind).alias("kind"), part.cast("long").alias("part"), k.cast("long").alias("k"))
+    kinds = F.array(key("place", F.col("part"), F.col("place")), key("run", F.col("part"), F.col("run")), key("all", F.lit(0), F.lit(0)))
+    per = near.select("doc_id", "item_id", "at", "slots", F.explode(kinds).alias("occurrence")).groupBy("doc_id", "item_id", "occurrence")
+    met = per.agg(F.size(F.collect_set("at")).cast("long").alias("windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     sources = F.size(F.array_distinct(F.transform("slots", lambda s: s.x)))
     kinds = F.greatest(F.size("slots"), F.lit(1))
     met = met.join(total, "item_id").select("doc_id", "item_id", "windows", (F.col("windows") / F.col("total")).alias("share"), F.when(F.size("slots") == 0, 1.0).otherwise(sources / kinds).alias("consistency"))
-    return met.where(((F.col("share") >= SHARE) | (F.col("windows") >= RUN)) & (F.col("consistency") >= CONSISTENT))
+    met = met.where(((F.col("share") >= SHARE) | (F.col("windows") >= RUN)) & (F.col("consistency") >= CONSISTENT))
+    best = met.groupBy("doc_id", "item_id").agg(F.max(F.struct("windows", "consistency", "share")).alias("m"))
+    return best.select("doc_id", "item_id", "m.windows", "m.share", "m.consistency")
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -205,6 +205,21 @@ def test_benchmark(spark):
     assert benchmark.contaminated(table(spark, []), items).count() == 0 and benchmark.contaminated(table(spark, docs), items.limit(0)).count() == 0
 
 
+def test_benchmark_judges_each_occurrence(spark):
+    ask = "if a farmer sells {} apples to the first man and then {} pears to the other one how much fruit is gone at last"
+    one, two, changed = ask.format(12, 7), ask.format(30, 4), ask.format(51, 9)
+    stray = "as we heard the man sells 99 apples to the first man and then he rests "
+    edited = one.replace("and then", "and only then")
+    docs = [one + " so much for that . " + two, one + " again " * 30 + changed, one + " well " * 30 + stray, edited + " well " * 30 + stray]
+    items = spark.createDataFrame([(1, one), (2, two)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in benchmark.contaminated(table(spark, docs), items).collect()}
+    assert {(0, 1), (0, 2), (1, 1), (2, 1), (3, 1)} <= set(got)
+    assert all(got[k, 1].consistency == 1.0 and got[k, 1].share == 1.0 for k in (0, 1, 2))
+    apart = "x 6 km " + "and 7 km then 8 km but five and so on we go to the end of it"
+    torn = spark.createDataFrame([(9, apart.replace("6", "5").replace("7", "5").replace("8", "5"))], "item_id long, text string")
+    assert benchmark.contaminated(table(spark, [apart + " and " + apart]), torn).count() == 0
+
+
 def test_licenses(spark):
     files = [("a/LICENSE", "Released under the MIT License."), ("a/b/c.txt", "plain"), ("a/d.txt", "x\nLicensed under the Apache License, Version 2.0.\ny"), ("e/f.txt", None), ("g.txt", ""), (None, "All rights reserved."), ("a/d.txt", "x")]
     got = {r.path: (r.license, r.origin, r.depth) for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
