@@ -6,6 +6,7 @@ evenly over the languages); texts come to the driver as counts of hashed subword
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,11 @@ from siftspark.llm.hashed import counted, subwords
 BITS, DIM, SAMPLE, EPOCHS, RATE, SEED = 16, 16, 2400, 4, 0.5, 7
 #: A prediction under this calibrated probability is rejected.
 REJECT = 0.4
+#: Share of an n-gram that a language's rows do not have; quantiles of held-out rows under their own language and under
+#: the others' alone, between which the cut for the unknown lies; held-out rows that a cut needs.
+UNSEEN, OWN, OTHER, ENOUGH = 1e-6, 0.002, 0.98, 20
 UNKNOWN = "und"
+DIGITS = re.compile(r"\S*\d\S*")
 
 
 @dataclass
@@ -26,18 +31,29 @@ class Model:
     langs: list[str]
     logits: np.ndarray  # of each bucket, already divided by the temperature
     bias: np.ndarray
+    seen: np.ndarray  # log of the share of each bucket in each language's rows
+    cut: float  # texts whose mean of `seen` is lower are in no learned language
 
-    def predict(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the language (-1: no text) and its calibrated probability."""
-        best, score = np.full(len(texts), -1), np.zeros(len(texts))
+    def predict(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the language (-1: no text), its calibrated probability, and whether the n-grams are that language's."""
+        best, score, known = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), bool)
         if not self.langs:
-            return best, score
+            return best, score, known
         for keep, offsets, buckets in subwords(texts, BITS):
             z = np.stack([np.add.reduceat(col[buckets], offsets[:-1], dtype=np.float64) for col in self.logits.T], axis=1)
             p = softmax(z / np.diff(offsets)[:, None] + self.bias)
             best[keep] = p.argmax(1)
             score[keep] = p.max(1)
-        return best, score
+            known[keep] = self.fits(best[keep], offsets, buckets)
+        # numbers and secrets are no language: a text that holds many of them is judged by its other words
+        rest = [DIGITS.sub(" ", t) if t and b >= 0 and not k else None for t, b, k in zip(texts, best, known, strict=True)]
+        for keep, offsets, buckets in subwords([t if t and any(map(str.isalpha, t)) else None for t in rest], BITS):
+            known[keep] = self.fits(best[keep], offsets, buckets)
+        return best, score, known
+
+    def fits(self, lang: np.ndarray, offsets: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+        n = np.diff(offsets)
+        return np.add.reduceat(self.seen[buckets, np.repeat(lang, n)], offsets[:-1], dtype=np.float64) / n >= self.cut
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -45,11 +61,22 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
+def unknown_cut(seen: np.ndarray, rows: list, y: np.ndarray) -> float:
+    """Between what held-out rows reach under their own language and what they reach where it is left out; where these
+    overlap, the former. With one language the latter is that of n-grams never seen. -inf with fewer than ENOUGH rows."""
+    if len(rows) < ENOUGH:
+        return -np.inf
+    reach = np.array([share @ seen[at] for _, at, share in rows])
+    own = np.quantile(reach[np.arange(len(y)), y], OWN)
+    reach[np.arange(len(y)), y] = np.log(UNSEEN)
+    return float(min(own, (own + np.quantile(reach.max(1), OTHER)) / 2))
+
+
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
-    """rows: (language, buckets, shares). A fifth is kept from training and sets the temperature."""
+    """rows: (language, buckets, shares). A fifth is kept from training and sets the temperature and the cut."""
     langs = sorted({r[0] for r in rows})
     if not langs:
-        return Model([], np.zeros((1 << BITS, 0)), np.zeros(0))
+        return Model([], np.zeros((1 << BITS, 0)), np.zeros(0), np.zeros((1 << BITS, 0)), -np.inf)
     rng = np.random.default_rng(SEED)
     emb, out, bias = rng.normal(0, 0.1, (1 << BITS, DIM)), np.zeros((DIM, len(langs))), np.zeros(len(langs))
     order = rng.permutation(len(rows))
@@ -71,8 +98,12 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
     z = np.array([rows[k][2] @ table[rows[k][1]] + bias for k in (held if len(held) else own)])
     y = target[held if len(held) else own].argmax(1)
     loss = lambda t: -np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean()
-    heat = min(np.geomspace(0.05, 5, 60), key=loss)
-    return Model(langs, np.ascontiguousarray(table / heat, np.float32), bias / heat)
+    heat = min(np.geomspace(0.0005, 5, 120), key=loss)
+    seen = np.zeros((1 << BITS, len(langs)))
+    for k in own:
+        seen[rows[k][1], langs.index(rows[k][0])] += rows[k][2]
+    seen = np.log(seen / np.maximum(seen.sum(0), UNSEEN) + UNSEEN).astype(np.float32)
+    return Model(langs, np.ascontiguousarray(table / heat, np.float32), bias / heat, seen, unknown_cut(seen, [rows[k] for k in held], y))
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
@@ -105,17 +136,17 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score. A text that is null or has no letter is `und` with score 0."""
+    """docs with lang_pred, score and _known (false: no learned language). A text that is null or has no letter is `und` with score 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BITS and the number of languages
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, known boolean")
     def guess(texts: pd.Series, letters: pd.Series) -> pd.DataFrame:
         m = shared.value
-        best, score = m.predict([t if ok else None for t, ok in zip(texts, letters, strict=True)])
-        return pd.DataFrame({"lang_pred": [m.langs[b] if b >= 0 else UNKNOWN for b in best], "score": score})
+        best, score, known = m.predict([t if ok else None for t, ok in zip(texts, letters, strict=True)])
+        return pd.DataFrame({"lang_pred": [m.langs[b] if b >= 0 else UNKNOWN for b in best], "score": score, "known": known})
 
     has = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    return docs.withColumn("_guess", guess(F.col(text), has)).withColumn("lang_pred", F.col("_guess.lang_pred")).withColumn("score", F.col("_guess.score")).drop("_guess")
+    return docs.withColumn("_guess", guess(F.col(text), has)).withColumn("lang_pred", F.col("_guess.lang_pred")).withColumn("score", F.col("_guess.score")).withColumn("_known", F.col("_guess.known")).drop("_guess")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -123,18 +154,22 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
 
 
+def _rejected():
+    return (F.col("score") < REJECT) | ~F.col("_known")
+
+
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Returns (doc_id, held_out, lang_pred, score, rejected) for every row of docs(doc_id, text, lang).
 
     Trained on the rows outside the held-out fold. Texts that are null, empty or without a letter are `und`, score 0,
-    and rejected, as are predictions under REJECT. Without any labelled row all are `und`. Other columns are not read.
+    and rejected, as are predictions under REJECT and texts whose n-grams are no learned language's. Without any labelled row all are `und`. Other columns are not read.
     """
     own = docs.select("doc_id", "text", "lang", held_out().alias("held_out"))
     model = fit(own.where("not held_out"), sample=sample)
-    return predict(own.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", (F.col("score") < REJECT).alias("rejected"))
+    return predict(own.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", _rejected().alias("rejected"))
 
 
 def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs without those that identify() would reject; all columns stay."""
     model = fit(docs.withColumn("_held", held_out()).where("not _held"), sample=sample)
-    return predict(docs, model).where(F.col("score") >= REJECT).select(*docs.columns)
+    return predict(docs, model).where(~_rejected()).select(*docs.columns)

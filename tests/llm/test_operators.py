@@ -163,6 +163,24 @@ def test_language(spark):
     assert language.identify(table(spark, [])).count() == 0
 
 
+def test_language_rejects_the_unknown(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs.where(~language.held_out()), sample=800)
+    held = [r.text for r in docs.where(language.held_out()).collect() if r.text]
+    keeps = lambda m, texts: np.mean((p := m.predict(texts))[2] & (p[1] >= language.REJECT))
+    assert keeps(model, held) > 0.98 and keeps(model, [t for t in held if len(t) < 400]) > 0.95
+    rng = random.Random(4)
+    odd = lambda letters: [" ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(rng.randint(3, 40))) for _ in range(100)]
+    assert keeps(model, odd("abcdefghijklmnopqrstuvwxyz")) < 0.05 and keeps(model, odd("абвгдежзийклмнопрст")) < 0.05
+    assert keeps(model, ["Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura", "def f(x):\n    return [k for k in range(x) if k % 2]"]) == 0
+    assert keeps(model, ["Hean. Esanwh 2353820953013749 4550997810720808 thheed hand, 2353820953013749 threingat."]) == 1
+    few = language.fit(docs.where(~language.held_out() & (F.col("lang") != "fr")), sample=800)
+    assert keeps(few, [r.text for r in docs.where("lang = 'fr'").collect() if r.text]) < 0.1
+    odd_rows = table(spark, odd("abcdefghijklmnopqrstuvwxyz")).select("doc_id", "text", F.lit(None).cast("string").alias("lang"))
+    got = language.identify(docs.select("doc_id", "text", "lang").unionByName(odd_rows.withColumn("doc_id", F.col("doc_id") + 10**6)), sample=800)
+    assert got.where("doc_id >= 1000000 and not rejected").count() < 5
+
+
 def test_quality(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
