@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from siftspark.llm.hashed import counted, words
 
 BITS, SAMPLE, EPOCHS, RATE, DECAY, SEED = 18, 4000, 6, 4.0, 1e-6, 5
-#: A document is selected if P(grade > lowest) is at least this.
+#: A document is selected if P(top grade) is at least this.
 SELECT = 0.5
 
 
@@ -65,6 +65,13 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Ordinal:
     return Ordinal(grades, w.astype(np.float32), cuts)
 
 
+def ratings(labels: DataFrame) -> DataFrame:
+    """(doc_id, rating) of labels(doc_id, quality, toxic): 0 toxic, 1 of low quality, 2 good. One row a doc_id; any
+    toxic row makes it toxic; without a toxic label quality alone counts; null where neither tells."""
+    one = labels.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"), F.max(F.col("quality").cast("int")).alias("quality"))
+    return one.select("doc_id", F.when(F.col("toxic") > 0, 0).when(F.col("quality") > 0, 2).when(F.col("quality") == 0, 1).alias("rating"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grade: str = "quality") -> Ordinal:
     """About `sample` graded documents, chosen by a hash of doc_id, teach the model; null texts and grades don't."""
     graded = labels.select(F.col("doc_id").alias("id"), F.col(grade).cast("int").alias("grade")).dropna().groupBy("id").agg(F.max("grade").alias("grade"))
@@ -89,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grade: str = "
 def rate(docs: DataFrame, model: Ordinal, select: float = SELECT) -> DataFrame:
     """Returns (doc_id, expected_grade, tail_prob, selected) for every row of docs(doc_id, text).
 
-    tail_prob is P(grade > lowest). A text without words, null or empty, gets the grades' prior and is not selected.
+    tail_prob is P(top grade). A text without words, null or empty, gets the grades' prior and is not selected.
     Rows repeat as they are; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BITS
@@ -98,7 +105,7 @@ def rate(docs: DataFrame, model: Ordinal, select: float = SELECT) -> DataFrame:
         m = shared.value
         tails = m.tails(m.score(texts.tolist()))
         steps = np.diff(m.grades)
-        return pd.DataFrame({"expected_grade": m.grades[0] + tails @ steps if len(steps) else np.full(len(texts), float(m.grades[0])), "tail_prob": tails[:, 0] if len(steps) else np.ones(len(texts))})
+        return pd.DataFrame({"expected_grade": m.grades[0] + tails @ steps if len(steps) else np.full(len(texts), float(m.grades[0])), "tail_prob": tails[:, -1] if len(steps) else np.ones(len(texts))})
 
     x = F.pandas_udf(grade, "expected_grade double, tail_prob double")("text")
     out = docs.select("doc_id", x.alias("x"), F.coalesce(F.col("text").rlike(r"\w|[^\x00-\x7f]"), F.lit(False)).alias("some"))

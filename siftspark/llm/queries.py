@@ -71,7 +71,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return quality.rate(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return quality.rate(docs, quality.fit(docs, quality.ratings(table(spark, sf_dir, "labels")), grade="rating"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

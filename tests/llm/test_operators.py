@@ -196,6 +196,17 @@ def test_quality(spark):
     assert not odd[0].selected and not odd[1].selected and quality.rate(table(spark, []), model).count() == 0
 
 
+def test_quality_does_not_select_toxic(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs, quality.ratings(labels.where("doc_id % 5 != 0")), grade="rating")
+    assert len(model.cuts) == 2
+    got = quality.rate(docs, model).join(quality.ratings(labels), "doc_id").where("doc_id % 5 = 0").toPandas()
+    assert (~got[got.rating == 0].selected).mean() > 0.5 and got[got.rating == 2].selected.mean() > 0.95
+    rows = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, 0, None), (3, 1, 0), (4, None, 1), (5, None, 0)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id: r.rating for r in quality.ratings(rows).collect()} == {1: 0, 2: 1, 3: 2, 4: 0, 5: None}
+
+
 def test_mixing(spark):
     rows = [(i, f"t{i}", "en", "big" if i % 3 else None, 1, "c", "c", 1, 1) for i in range(3000)]
     docs = spark.createDataFrame(rows, SCHEMA)
