@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or an own one where it is unset and all run on this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN_DIR:
             _OWN_DIR.append(tempfile.mkdtemp(prefix="siftspark-"))
         at = _OWN_DIR[0]
@@ -43,6 +45,14 @@ def forget(df: DataFrame) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, made longer until no column of df has it (names do not differ by case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """body(value) with `value` evaluated once, also where body uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)
