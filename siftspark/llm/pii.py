@@ -18,6 +18,7 @@ ADDED = ("iban", "ssn", "account", "address", "login")
 KINDS = BASE + ADDED
 # Cues before an account number, and the last words of street addresses, in lower case.
 CUES = ("account", "acct", "konto", "kontonummer", "cuenta", "compte")
+BETWEEN = frozenset("no nr num number numbers nummer numero número numéro id is of ist es est".split())
 STREETS = frozenset("street st avenue ave road rd boulevard blvd lane ln drive dr court ct way place pl square sq".split())
 
 
@@ -138,26 +139,50 @@ def address_from(text: str, at: int):
 
 
 def account_after(text: str, at: int):
-    """Eight to seventeen digits behind a cue that ends at `at`, with at most a few signs between."""
-    start = at
-    while start < len(text) and start - at < 12 and text[start] not in DIGITS:
-        if not (text[start] in " :#.-" or text[start : start + 2].lower() in ("no", "nr") or text[start - 1 : start + 1].lower() in ("no", "nr")):
+    """Eight to seventeen digits behind a cue that ends at `at`: a few signs and words for a number may stand between,
+    and single spaces or hyphens group the digits."""
+    start, n = at, len(text)
+    while start < n and text[start] not in DIGITS:
+        if text[start] in " \t:#.-=":
+            start += 1
+            continue
+        stop = start
+        while stop < n and stop - start < 8 and text[stop].isalpha():
+            stop += 1
+        if text[start:stop].lower() not in BETWEEN or stop - at > 32:
             return None
-        start += 1
-    end = _run(text, start, DIGITS)
-    return (start, end) if 8 <= end - start <= 17 else None
+        start = stop
+    if start >= n or start - at > 40:
+        return None
+    end = chain_from(text, start)
+    return (start, end) if 8 <= len(digits_of(text[start:end])) <= 17 else None
 
 
-def login_at(text: str, at: int):
-    """scheme://user:secret@host around the scheme's signs that end at `at`."""
+def ssn_at(text: str, at: int):
+    """Three, two and four digits with hyphens, from a digit that follows no other; another number may stand a space
+    away, but not a hyphen or dot."""
+    end = at + 11
+    got = text[at:end]
+    if len(got) < 11 or got[3] != "-" or got[6] != "-" or not all(c in DIGITS for c in got[:3] + got[4:6] + got[7:]):
+        return None
+    joined = (at and text[at - 1] in "-.") or (end < len(text) and (text[end] in DIGITS or (text[end] in "-." and end + 1 < len(text) and text[end + 1] in DIGITS)))
+    ok = got[:3] not in ("000", "666") and got[0] != "9" and got[4:6] != "00" and got[7:] != "0000"
+    return (at, end) if ok and not joined else None
+
+
+def login_at(text: str, at: int, done: int):
+    """scheme://user:secret@host around the scheme's signs that end at `at`, up to the first delimiter, and where the
+    search ended. Nothing before `done` is read again: what it holds has no delimiter and belongs to the last login."""
     start = at - 3
     while start and text[start - 1].isascii() and text[start - 1].isalpha() and at - start < 16:
         start -= 1
+    if at < done:
+        return None, done
     end, sign = at, -1
-    while end < len(text) and end - at < 256 and text[end] not in "/?#\"'<>" and not text[end].isspace():
+    while end < len(text) and text[end] not in "/?#\"'<>" and not text[end].isspace():
         sign = end if text[end] == "@" else sign
         end += 1
-    return (start, end) if start < at - 3 and sign > at and sign + 1 < end and ":" in text[at:sign] else None
+    return ((start, end) if start < at - 3 and sign > at and sign + 1 < end and ":" in text[at:sign] else None), end
 
 
 _AUTOMATON = None
@@ -174,7 +199,7 @@ def find(text) -> dict[str, list[tuple[int, int]]]:
     low = text.lower()
     if len(low) != len(text):
         low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
-    email = ip = card = run = 0
+    email = ip = card = run = login = 0
     for last, (sign, width) in _AUTOMATON.iter(low):
         if sign == "@":
             if x := email_at(text, last, email):
@@ -190,8 +215,6 @@ def find(text) -> dict[str, list[tuple[int, int]]]:
                 got = digits_of(text[last:card])
                 if 13 <= len(got) <= 19 and luhn(got):
                     out["card"].append((last, card))
-                if card - last == 11 and text[last + 3] == text[last + 6] == "-" and len(got) == 9 and got[:3] not in ("000", "666") and got[0] != "9" and got[3:5] != "00" and got[5:] != "0000":
-                    out["ssn"].append((last, card))
             if last >= ip and last >= run:
                 if x := quad_from(text, last):
                     ip = x[1]
@@ -199,6 +222,8 @@ def find(text) -> dict[str, list[tuple[int, int]]]:
                         out["ip"].append(x)
             if last >= run:
                 run = _run(text, last, DIGITS)
+                if x := ssn_at(text, last):
+                    out["ssn"].append(x)
                 if x := iban_at(text, last):
                     out["iban"].append(x)
                 if x := address_from(text, last):
@@ -207,8 +232,10 @@ def find(text) -> dict[str, list[tuple[int, int]]]:
             x = account_after(text, last + 1)
             if x and x not in out["account"][-1:]:
                 out["account"].append(x)
-        elif x := login_at(text, last + 1):
-            out["login"].append(x)
+        else:
+            x, login = login_at(text, last + 1, login)
+            if x:
+                out["login"].append(x)
     return out
 
 
@@ -247,5 +274,6 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with personal data in `text` replaced by its kind in brackets; a null text stays null."""
+    """docs with personal data in `text` replaced by its kind in brackets; a null text stays null, an empty one empty;
+    texts are read whole; repeated rows, null ids and all other columns stay as they are."""
     return docs.withColumn(text, F.pandas_udf(_masked, "string")(text))
