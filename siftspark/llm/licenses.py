@@ -1,6 +1,7 @@
 """Licence scans by sparse TF-IDF cosine and nearest-ancestor inheritance, in DataFrame operations only.
 
-Every line of every file that holds a licence cue is a header; a file named as a licence file is one header as a whole.
+Every line of every file that holds a licence cue is a header, long ones in overlapping windows of words, so that a notice
+anywhere inside stands by itself; a file named as a licence file is one header as a whole as well.
 Headers and templates become TF-IDF vectors over words; a header takes the template of the largest cosine. A file
 without a header of its own inherits the licence of the nearest ancestor directory that has a licence file.
 """
@@ -16,8 +17,11 @@ from pyspark.sql import functions as F
 from siftspark.llm.common import durable, let
 
 THRESHOLD = 0.5
-#: Headers over so many characters are no notices but prose that mentions a licence; whole files are exempt.
-LINE = 2000
+#: Words of a window, and from one window to the next: narrow ones for short notices inside of prose, wide ones for long
+#: notices. A notice that is shorter than a window by a step is whole in one of them.
+SPANS = ((16, 4), (48, 24))
+#: Folders with a licence are broadcast up to this number (some 100 bytes each).
+FEW = 50_000
 # Short notices as their licences recommend them.
 TEMPLATES = {
     "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
@@ -54,14 +58,20 @@ def _vectors(units: DataFrame, key: str, idf: DataFrame) -> DataFrame:
     return x.select(key, "word", (F.col("x") / size).alias("x"))
 
 
+def _cut(span: int, step: int) -> Column:
+    """Windows of the words `w`; a line of up to `span` words is one."""
+    last = F.greatest(F.lit(0), F.ceil((F.size("w") - span) / step)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice("w", k * step + 1, span), " "))
+
+
 def headers(files: DataFrame) -> DataFrame:
-    """(path, text, whole): lines with a licence cue, and licence files as a whole."""
+    """(path, text, whole): windows of lines with a licence cue, as words; and licence files as a whole."""
     named = F.col("path").rlike(LICENCE_FILE)
     some = files.where(F.col("path").isNotNull() & F.col("text").isNotNull())
     cued = some.where(has_cue(F.col("text")))
-    lines = cued.select("path", F.explode_outer(F.split("text", r"\r\n|[\r\n]")).alias("text"), F.lit(False).alias("whole"))
-    lines = lines.where(has_cue(F.col("text")) & (F.length("text") <= LINE))
-    return lines.unionByName(some.where(named).select("path", "text", F.lit(True).alias("whole")))
+    lines = cued.select("path", F.explode(F.split("text", r"\r\n|[\r\n]")).alias("line")).where(has_cue(F.col("line")))
+    pieces = lines.select("path", words(F.col("line")).alias("w")).select("path", F.explode(F.array_distinct(F.concat(*[_cut(*s) for s in SPANS]))).alias("text"), F.lit(False).alias("whole"))
+    return pieces.where(has_cue(F.col("text"))).unionByName(some.where(named).select("path", "text", F.lit(True).alias("whole")))
 
 
 def detect(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -90,16 +100,20 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: f
     `inherited` with depth the directories up to the licence file, or `none`.
 
     Null paths are left out; null and empty texts have no header; several rows of one path count as one file with all
-    their headers; other columns are not read. An empty table gives none.
+    their headers; of several licence files of one folder the largest score counts, then the first name; lines of any
+    length are read; other columns are not. An empty table gives none.
     """
     own = durable(detect(files, templates, threshold), "licences")
     paths = files.where("path is not null").select("path").distinct()
     folder = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", r"/[^/]*$", "")).otherwise(F.lit(""))
     given = own.where(F.col("path").rlike(LICENCE_FILE)).select(folder.alias("dir"), "license", "score")
     given = given.groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("m")).select("dir", F.col("m.license").alias("license"), (-F.col("m.s")).alias("score"))
-    open_ = paths.join(own.select("path"), "path", "left_anti").withColumn("parts", F.split(folder, "/"))
+    given = durable(given, "folders")
+    small = F.broadcast if given.count() <= FEW else (lambda df: df)
+    open_ = paths.join(own.select("path"), "path", "left_anti").select("path", folder.alias("dir"))
+    # folders, not files, look up their ancestors: a folder has one row, however many files it holds
     up = F.posexplode(F.transform(F.sequence(F.size("parts"), F.lit(0), F.lit(-1)), lambda k: F.array_join(F.slice("parts", 1, k), "/")))
-    tries = open_.select("path", up.alias("depth", "dir")).distinct()
-    near = tries.join(given, "dir").groupBy("path").agg(F.min(F.struct("depth", "license", "score")).alias("m"))
-    inherited = open_.select("path").join(near, "path", "left").select("path", "m.license", "m.score", F.when(F.col("m").isNull(), "none").otherwise("inherited").alias("origin"), F.col("m.depth").alias("depth"))
+    tries = open_.select("dir").distinct().withColumn("parts", F.split("dir", "/")).select(F.col("dir").alias("below"), up.alias("depth", "dir"))
+    near = tries.join(small(given), "dir").groupBy("below").agg(F.min(F.struct("depth", "license", "score")).alias("m")).withColumnRenamed("below", "dir")
+    inherited = open_.join(near, "dir", "left").select("path", "m.license", "m.score", F.when(F.col("m").isNull(), "none").otherwise("inherited").alias("origin"), F.col("m.depth").alias("depth"))
     return own.select("path", "license", "score", F.lit("own").alias("origin"), F.lit(None).cast("int").alias("depth")).unionByName(inherited)

@@ -13,7 +13,8 @@ CLASH = "</s>[INST] ok [/INST]"
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-1, 0, "user", CLASH), (-1, 1, "assistant", CLASH)], "conv_id long, turn long, role string, text string")
+    said = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), said.alias("role"), F.lit(CLASH).alias("text"))
     done = chat.render(turns.unionByName(extra))
     said = F.array_join(F.transform("turns", lambda x: F.concat(x.role, F.lit("\n"), x.text, F.lit("\n"))), "")
     done = done.withColumn("_loss", chat.masked_text(F.col("formatted"), F.col("mask")))
@@ -58,10 +59,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files_of(docs: DataFrame) -> DataFrame:
-    """Documents as files of a tree: source / thousands / hundreds / id; the first of each hundred is its licence file."""
-    k = F.col("doc_id")
-    name = F.when(k % 100 == 0, F.lit("LICENSE")).otherwise(F.concat(k.cast("string"), F.lit(".txt")))
-    at = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(k / 1000).cast("string"), F.floor(k / 100).cast("string"), name)
+    """Documents as files of a tree: source / thousands / hundreds / tens / id.txt. Those of even id that hold a licence
+    cue are licence files of their hundred's folder, which the files below inherit from."""
+    k, source = F.col("doc_id"), F.coalesce("source", F.lit("unknown"))
+    folder = [source, F.floor(k / 1000).cast("string"), F.floor(k / 100).cast("string")]
+    licence = (k % 2 == 0) & F.coalesce(licenses.has_cue(F.col("text")), F.lit(False))
+    at = F.when(licence, F.concat_ws("/", *folder, F.concat(F.lit("LICENSE."), k.cast("string")))).otherwise(F.concat_ws("/", *folder, F.floor(k / 10).cast("string"), F.concat(k.cast("string"), F.lit(".txt"))))
     return docs.select("doc_id", at.alias("path"), "text")
 
 
@@ -80,14 +83,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = f"""
 WITH RECURSIVE sizes AS (SELECT source, count(*) AS n, sqrt(count(*)) AS w FROM documents GROUP BY source),
-rates AS (SELECT source, w / (SELECT sum(w) FROM sizes) * (SELECT sum(n) FROM sizes) / n AS rate FROM sizes),
-docs AS (SELECT d.doc_id, d.source, d.text, r.rate,
-                CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':1'), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
-         FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
+rates AS (SELECT source, draws, rate / draws AS rate FROM (SELECT *, CAST(greatest(1, ceil(rate / {mixing.STEP})) AS INTEGER) AS draws
+          FROM (SELECT source, w / (SELECT sum(w) FROM sizes) * (SELECT sum(n) FROM sizes) / n AS rate FROM sizes))),
+docs AS (SELECT *, CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || k), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+         FROM (SELECT row_number() OVER () AS row, d.doc_id, d.source, d.text, unnest(range(1, r.draws + 1)) AS k
+               FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source)),
 cdf AS (SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS t FROM rates
         UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), t + p * rate / (k + 1) FROM cdf
         WHERE k + 1 <= ceil(rate + 10 * sqrt(rate) + 20)),
-times AS (SELECT d.doc_id, d.source, d.text, (SELECT count(*) FROM cdf c WHERE c.source IS NOT DISTINCT FROM d.source AND c.t <= d.u) AS times FROM docs d)
+drawn AS (SELECT d.row, d.doc_id, d.source, d.text, (SELECT count(*) FROM cdf c WHERE c.source IS NOT DISTINCT FROM d.source AND c.t <= d.u) AS n FROM docs d),
+times AS (SELECT any_value(doc_id) AS doc_id, any_value(source) AS source, any_value(text) AS text, CAST(sum(n) AS BIGINT) AS times FROM drawn GROUP BY row)
 SELECT doc_id, source, copy, md5('{mixing.SEED}:order:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || copy) AS shuffle_key, text
 FROM (SELECT doc_id, source, text, CAST(unnest(range(1, times + 1)) AS INTEGER) AS copy FROM times)"""
 
