@@ -54,22 +54,24 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, power
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = POWER, seed: str = SEED) -> DataFrame:
     """docs(doc_id, source, ...) with copy (from 1) and shuffle_key; rows are in the order of shuffle_key.
 
-    A null source is a source; a null doc_id hashes like an empty one; rows of one doc_id get the same number of
-    copies; columns named copy or shuffle_key are replaced. An empty table gives an empty result.
+    A null source is a source; a null doc_id hashes like an empty one, a null text stays; rows of one doc_id get the
+    same number of copies; columns named copy or shuffle_key are replaced, all others are kept, whatever their names.
+    An empty table gives an empty result.
     """
     rate = rates(docs, weights, power)
     draws = F.greatest(F.lit(1), F.ceil(F.col("rate") / STEP)).cast("int")
-    rate = rate.where("rate > 0").select(F.col("source").alias("_source"), draws.alias("_draws"), poisson_table(F.col("rate") / draws).alias("_table"))
+    rate = rate.where("rate > 0").select("source", draws.alias("draws"), poisson_table(F.col("rate") / draws).alias("table"))
     if rate.count() <= FEW:
         rate = F.broadcast(rate)
-    own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    names = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
+    own = F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))
     times = F.aggregate(
-        F.sequence(F.lit(1), F.col("_draws")), F.lit(0),
-        lambda n, k: n + let(uniform(F.concat_ws(":", F.lit(seed), own, k.cast("string"))), lambda u: F.size(F.filter("_table", lambda c: c <= u))),
+        F.sequence(F.lit(1), F.col("draws")), F.lit(0),
+        lambda n, k: n + let(uniform(F.concat_ws(":", F.lit(seed), own, k.cast("string"))), lambda u: F.size(F.filter("table", lambda c: c <= u))),
     )
-    names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    # the number of copies stands by itself: hashed once a document
-    counted = docs.select(*names).join(rate, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_times", times).where("_times > 0")
-    copies = counted.select(*names, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("copy"))
+    # the row is one column, so that no name of docs meets one of ours; copies are counted once a document
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    counted = rows.join(rate, F.col("row.source").eqNullSafe(F.col("source"))).select("row", times.alias("times")).where("times > 0")
+    copies = counted.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), own, F.col("copy").cast("string")))
-    return copies.withColumn("shuffle_key", key).orderBy("shuffle_key")
+    return copies.select("row.*", "copy", key.alias("shuffle_key")).orderBy("shuffle_key")
