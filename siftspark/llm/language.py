@@ -14,9 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftspark.llm.common import fresh
 from siftspark.llm.hashed import counted, subwords
 
-BITS, DIM, SAMPLE, EPOCHS, RATE, SEED = 16, 16, 2400, 4, 0.5, 7
+BITS, DIM, SAMPLE, EPOCHS, STEPS, RATE, SEED = 16, 16, 2400, 4, 9600, 0.5, 7
 #: A prediction under this calibrated probability is rejected.
 REJECT = 0.4
 #: Share of an n-gram that a language's rows do not have; quantiles of held-out rows under their own language and under
@@ -82,8 +83,9 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
     order = rng.permutation(len(rows))
     held, own = order[: len(rows) // 5], order[len(rows) // 5 :]
     target = np.eye(len(langs))[[langs.index(r[0]) for r in rows]]
-    steps, done = EPOCHS * len(own), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // max(1, len(own))))  # a small sample is gone through more often
+    steps, done = epochs * len(own), 0
+    for _ in range(epochs):
         for k in rng.permutation(own):
             _, at, share = rows[k]
             rate = RATE * (1 - done / steps)
@@ -107,15 +109,17 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """docs: the rows to learn from; those without text or language are left out. At most about `sample` of them are
-    read, an equal number for each language where there are enough, chosen by a hash of the id."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count")).limit(500).collect()}
-    if not sizes:
-        return train([])
-    each = max(1, sample // len(sizes))
-    part = F.coalesce(*[F.when(F.col(lang) == k, F.lit(min(1.0, each / n))) for k, n in sizes.items()], F.lit(0.0))
-    rows = rows.where(F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit(SEED)), F.lit(1 << 20)) < part * (1 << 20))
+    """docs: the rows to learn from; those without text or language are left out. About `sample` of them are read, in
+    the mean equally many of each language or all it has, chosen by a hash of the id. Where there are more languages than
+    `sample`, each has the same chance of having a row in it; a language without one can't be learned."""
+    rows = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    each = sample / max(1, sizes.count())
+    # rows first by the hash alone, as for the rarest language that is cut; then each language by its own share
+    draw = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 40))
+    chosen = rows.select("id", "lang", draw.alias("draw")).join(sizes, "lang").where(F.col("draw") < F.least(F.lit(1.0), F.lit(each) / F.col("n")) * (1 << 40))
+    chosen = F.broadcast(chosen.select("id", "lang").distinct())  # about `sample` rows
+    rows = rows.join(chosen, ["id", "lang"])
 
     def counts(frames):
         for frame in frames:
@@ -125,8 +129,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
                     out.append((langs[k], *counted(buckets[offsets[i] : offsets[i + 1]])))
             yield pd.DataFrame(out, columns=["lang", "at", "share"])
 
-    read = rows.select(F.col(doc_id).cast("string").alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    got = read.select("lang", "text").mapInPandas(counts, "lang string, at array<int>, share array<float>").toArrow().combine_chunks()
+    got = rows.select("lang", "text").mapInPandas(counts, "lang string, at array<int>, share array<float>").toArrow().combine_chunks()
     if not len(got):
         return train([])
     at, share = (got.column(c).chunk(0) for c in ("at", "share"))  # views of two flat arrays, no object a row
@@ -135,18 +138,19 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     return train(sorted(got, key=lambda r: (r[0], len(r[1]), r[1][:50].tolist(), float(r[2][0]))))
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score and _known (false: no learned language). A text that is null or has no letter is `und` with score 0."""
+def predict(docs: DataFrame, model: Model, name: str, text: str = "text") -> DataFrame:
+    """docs with a struct `name` of lang_pred, score and rejected. A text that is null or has no letter is `und` with
+    score 0, and rejected, as are predictions under REJECT and texts whose n-grams are no learned language's."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BITS and the number of languages
 
-    @F.pandas_udf("lang_pred string, score double, known boolean")
+    @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def guess(texts: pd.Series, letters: pd.Series) -> pd.DataFrame:
         m = shared.value
         best, score, known = m.predict([t if ok else None for t, ok in zip(texts, letters, strict=True)])
-        return pd.DataFrame({"lang_pred": [m.langs[b] if b >= 0 else UNKNOWN for b in best], "score": score, "known": known})
+        return pd.DataFrame({"lang_pred": [m.langs[b] if b >= 0 else UNKNOWN for b in best], "score": score, "rejected": (score < REJECT) | ~known})
 
     has = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    return docs.withColumn("_guess", guess(F.col(text), has)).withColumn("lang_pred", F.col("_guess.lang_pred")).withColumn("score", F.col("_guess.score")).withColumn("_known", F.col("_guess.known")).drop("_guess")
+    return docs.withColumn(name, guess(F.col(text), has))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -154,22 +158,21 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
 
 
-def _rejected():
-    return (F.col("score") < REJECT) | ~F.col("_known")
-
-
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Returns (doc_id, held_out, lang_pred, score, rejected) for every row of docs(doc_id, text, lang).
 
     Trained on the rows outside the held-out fold. Texts that are null, empty or without a letter are `und`, score 0,
-    and rejected, as are predictions under REJECT and texts whose n-grams are no learned language's. Without any labelled row all are `und`. Other columns are not read.
+    and rejected, as are predictions under REJECT and texts whose n-grams are no learned language's. Without any
+    labelled row all are `und`. Repeated rows and null ids stay as they are; a null id belongs to the held-out fold.
+    Texts are read whole. Other columns are not read.
     """
     own = docs.select("doc_id", "text", "lang", held_out().alias("held_out"))
     model = fit(own.where("not held_out"), sample=sample)
-    return predict(own.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", _rejected().alias("rejected"))
+    return predict(own.drop("lang"), model, "guess").select("doc_id", "held_out", "guess.lang_pred", "guess.score", "guess.rejected")
 
 
 def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs without those that identify() would reject; all columns stay."""
-    model = fit(docs.withColumn("_held", held_out()).where("not _held"), sample=sample)
-    return predict(docs, model).where(~_rejected()).select(*docs.columns)
+    """docs without those that identify() would reject; all columns stay as they are, whatever their names."""
+    model = fit(docs.where(~held_out()), sample=sample)
+    name = fresh(docs, "guess")
+    return predict(docs, model, name).where(~F.col(f"{name}.rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
