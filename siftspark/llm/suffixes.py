@@ -2,9 +2,10 @@
 
 1. Each document is cut into runs of window starts that share the window's minimiser (the leftmost smallest hash of a
    gram), an anchor that depends on the window's content alone: equal windows have equal anchors at equal places.
-2. Runs whose whole content occurs twice are repeated as they are. Where an anchor has runs of several contents, one
-   run of each content goes on: the text around their anchor, dealt by `RANGE` offsets, becomes a short context around a core that all
-   windows of the offsets share.
+2. Runs whose anchor occurs nowhere else are done with. Runs whose whole content (by a 128-bit digest of its bytes)
+   occurs twice are repeated as they are. Where an anchor has runs of several contents, one run of each content goes on:
+   the text around their anchor, dealt by `RANGE` offsets, becomes a short context around a core that all windows of the
+   offsets share.
 3. For each core that occurs twice a generalised suffix array over its distinct contexts is built by linear grouping
    (suffix_array); neighbours that share a whole window mark it as repeated.
 4. The windows' bytes are joined to spans and removed in one pass over the documents.
@@ -18,10 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftspark.llm.common import Powers, chunks_of, durable, utf8
+from siftspark.llm.common import Powers, chunks_of, durable, forget, utf8
 
 WINDOW, GRAM, RANGE = 400, 100, 32
-#: A core with more distinct contexts than this is decided by counting single windows.
+#: A core with more distinct contexts than this is no single task's suffix array: its windows are dealt by their bytes
+#: and counted, which is the same decision in an exact split.
 CROWD = 2000
 
 
@@ -138,7 +140,8 @@ def repeated_starts(contexts: list[list[int]], window: int) -> list[int]:
 
 def anchored_runs(data: np.ndarray, starts: np.ndarray, powers: Powers, window: int = WINDOW, gram: int = GRAM):
     """data: bytes of several documents, the k-th at starts[k]:starts[k + 1]. Yields arrays: document, anchor, first
-    and last window start (relative to the document), anchor hash, hash of the run's whole content."""
+    and last window start (relative to the document), anchor hash, and first and last byte of the run's whole content
+    in data. The hash only names anchors: runs that it takes for one anchor are still told apart by their bytes."""
     n = len(data) - window + 1
     if n <= 0:
         return None
@@ -163,7 +166,7 @@ def anchored_runs(data: np.ndarray, starts: np.ndarray, powers: Powers, window:
     stops = np.flatnonzero(np.r_[fresh[1:] | (ok[:-1] & ~ok[1:]), True])
     last = stops[np.searchsorted(stops, first)]
     d, a = doc[first], anchor[first]
-    return d, a - starts[d], first - starts[d], last - starts[d], powers.hashes(prefix, a, a + gram), powers.hashes(prefix, first, last + window)
+    return d, a - starts[d], first - starts[d], last - starts[d], powers.hashes(prefix, a, a + gram), first, last + window
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -172,10 +175,11 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _runs(base: DataFrame, window: int) -> DataFrame:
-    """(id, key, place, h, whole): place holds the first window start, how many follow, and how far on the anchor is."""
+    """(id, key, place, h, whole): place holds the first window start, how many follow, and how far on the anchor is;
+    whole is a 128-bit digest of the run's bytes."""
 
     def find(frames):
-        powers = Powers()
+        powers, digest = Powers(), xxhash.xxh3_128_digest
         for part in frames:
             texts = [utf8(t) for t in part["text"]]
             ids, keys = part["id"].to_numpy(), part["key"].to_numpy()
@@ -183,13 +187,15 @@ def _runs(base: DataFrame, window: int) -> DataFrame:
             for got in chunks_of([texts[k] for k in long]):
                 own = np.array([long[k] for k in got])
                 starts = np.r_[0, np.cumsum([len(texts[k]) for k in own])]
-                runs = anchored_runs(np.frombuffer(b"".join(texts[k] for k in own), np.uint8), starts, powers, window)
+                joined = b"".join(texts[k] for k in own)
+                runs = anchored_runs(np.frombuffer(joined, np.uint8), starts, powers, window)
                 if runs is not None:
-                    d, a, p, q, h, whole = runs
-                    place = p.astype(np.int64) << 32 | (q - p) << 16 | (a - p)
-                    yield pd.DataFrame({"id": ids[own[d]], "key": keys[own[d]], "place": place, "h": h.view(np.int64), "whole": whole.view(np.int64)})
+                    d, a, p, q, h, begin, end = runs
+                    place, view = p.astype(np.int64) << 32 | (q - p) << 16 | (a - p), memoryview(joined)
+                    whole = [digest(view[x:y]) for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
+                    yield pd.DataFrame({"id": ids[own[d]], "key": keys[own[d]], "place": place, "h": h.view(np.int64), "whole": whole})
 
-    return base.where(F.octet_length("text") >= window).mapInPandas(find, "id long, key long, place long, h long, whole long")
+    return base.where(F.octet_length("text") >= window).mapInPandas(find, "id long, key long, place long, h long, whole binary")
 
 
 def _contexts(open_runs: DataFrame, base: DataFrame, window: int) -> DataFrame:
@@ -278,13 +284,17 @@ def _masks(part: pd.DataFrame) -> pd.DataFrame:
 def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, key, p, q): windows that start at p to q occur elsewhere too; rows may overlap."""
     base = _keyed(docs, doc_id, text)
-    runs = durable(_runs(base, window), "runs")
+    every = durable(_runs(base, window), "runs")
+    # an anchor that occurs once repeats nothing: its runs go before anything wide is shuffled
+    twice = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    runs = durable(every.join(twice, "h", "left_semi"), "runs")
+    forget(every)
     # of one row each: every first() of a group is taken from the row that comes first, and any row of it will do
     one = [F.first(c).alias(c) for c in ("id", "key", "place")]
     kinds = durable(runs.groupBy("h", "whole").agg(F.count("*").alias("n"), *one), "kinds")
     anchors = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
     contexts = durable(_contexts(kinds.join(anchors, "h").select("id", "key", "place"), base, window), "contexts")
-    same = runs.join(kinds.where("n > 1").select("h", "whole"), ["h", "whole"])
+    same = runs.join(kinds.where("n > 1").select("h", "whole"), ["h", "whole"], "left_semi")
     p = F.shiftright("place", 32).cast("int")
     same = same.select("id", "key", p.alias("p"), (p + F.shiftright("place", 16).bitwiseAND(F.lit(0xFFFF)).cast("int")).alias("q"))
     return same.unionByName(_decided(contexts, window).select("id", "key", "p", F.col("p").alias("q")))
