@@ -67,6 +67,40 @@ def test_vantage_tree_is_exact():
     simhash.vantage_links(fps, 4, a, leaf=8)
     simhash._cross(fps, np.arange(len(fps)), np.arange(len(fps)), 4, b)
     assert [a.find(i) for i in range(len(fps))] == [b.find(i) for i in range(len(fps))]
+    c = simhash.Forest(len(fps))
+    for k in range(simhash.BLOCKS):
+        simhash.block_links(fps, k, 4, c, leaf=8)
+    assert [c.find(i) for i in range(len(fps))] == [b.find(i) for i in range(len(fps))]
+
+
+@pytest.mark.parametrize("dense", [False, True])
+def test_links_through_the_trees_are_all_links(spark, dense):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 3 if dense else 1500).astype(np.uint64)
+    near = [base ^ np.bitwise_or.reduce([np.uint64(1) << rng.integers(0, 64, len(base)).astype(np.uint64) for _ in range(1 + k % 5)]) for k in range(700 if dense else 2)]
+    fps = np.unique(np.concatenate([base, *near]))
+    nodes = spark.createDataFrame([(int(i), int(f)) for i, f in enumerate(fps.view(np.int64))], "node long, fp long")
+    tree = simhash.Tree(simhash.block_of(fps, 0), 1, 50, 0)
+    rows, shards = tree.route(simhash.block_of(fps, 0))
+    assert (dense or tree.leaves > 20) and len(rows) < 4 * len(fps) and set(rows) == set(range(len(fps)))
+    links = simhash.fingerprint_links(nodes, sample=500, shard=60, leaf=16).collect()
+    a, b = simhash.Forest(len(fps)), simhash.Forest(len(fps))
+    for r in links:
+        assert int(fps[r.a] ^ fps[r.b]).bit_count() <= 4 or dense
+        a.join(r.a, r.b)
+    simhash._cross(fps, np.arange(len(fps)), np.arange(len(fps)), 4, b)
+    assert [a.find(i) for i in range(len(fps))] == [b.find(i) for i in range(len(fps))]
+
+
+def test_simhash_of_one_hot_text_and_many_rows_of_an_id(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 2)
+    docs = table(spark, ["the same words again and again here"] * 60 + [f"word{k} other{k} third{k} more{k} last{k}" for k in range(40)], [(70, "zz yy xx ww vv", None, None, 0, "", "", 0, 0), (70, "aa yy xx ww vv", None, None, 0, "", "", 0, 0)])
+    got = simhash.near_duplicates(docs).collect()
+    assert len(got) == 102 and {r.component_id for r in got if r.doc_id < 60} == {0}
+    kept = simhash.keep_one(docs.withColumn("own", F.lit(1)).withColumn("id", F.lit("x")))
+    rows = [r for r in kept.collect()]
+    assert kept.columns == [*docs.columns, "own", "id"] and sorted(r.doc_id for r in rows) == [0, *range(60, 100)]
+    assert [r.text for r in rows if r.doc_id == 70] == ["aa yy xx ww vv"]
 
 
 def test_components(spark):
@@ -100,6 +134,18 @@ def test_repeats(spark, texts, crowd, monkeypatch):
     assert both.doc_id is None and both.n_removed == 500
 
 
+def test_runs_of_one_hash_are_told_apart_by_their_bytes(spark):
+    """Two texts that a polynomial hash modulo 2^64 can't tell apart: nothing repeats."""
+    c = np.ones(1, int)
+    for a in (1, 2, 4, 8, 16, 32, 64, 128, 16, 8, 4, 8):
+        c = np.r_[c, np.zeros(a, int)] - np.r_[np.zeros(a, int), c]
+    end = "".join(random.Random(26).choices("abcdefghijklmnopqrstuvwxyz ", k=108))
+    one, two = "-" * len(c) + end, "".join(chr(45 + x) for x in c) + end
+    assert len(one) == len(two) == 400
+    assert [r.n_removed for r in suffixes.remove_repeats(table(spark, [one, two])).collect()] == [0, 0]
+    assert sorted(r.n_removed for r in suffixes.remove_repeats(table(spark, [one, two, one])).collect()) == [0, 400, 400]
+
+
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 RIGHT = {"email": lambda m: True, "ip": lambda m: all(int(p) < 256 for p in m.split(".")), "card": lambda m: 13 <= len(pii.digits_of(m)) <= 19 and pii.luhn(pii.digits_of(m)), "phone": lambda m: 9 <= len(pii.digits_of(m)) <= 15}
 
@@ -126,6 +172,26 @@ def test_pii(spark):
     assert "a@b.co" not in hidden[0] and "[CARD]" in hidden[0] and hidden[1] is None and hidden[2] == "clean"
 
 
+@pytest.mark.parametrize("text,kind,want", [
+    ("account number 12345678 x", "account", ["12345678"]), ("Account id: 12345678", "account", ["12345678"]), ("konto nummer: 1234 5678 9012.", "account", ["1234 5678 9012"]),
+    ("account of a friend 12345678", "account", []), ("account no 1234", "account", []), ("1980 123-45-6789", "ssn", ["123-45-6789"]), ("7 123-45-6789, 123-45-6780", "ssn", ["123-45-6789", "123-45-6780"]),
+    ("1-123-45-6789", "ssn", []), ("123-45-67890", "ssn", []), ("000-45-6789", "ssn", []), ("http://u:" + "s" * 400 + "@host.org x", "login", ["http://u:" + "s" * 400 + "@host.org"]), ("a://b://c:d@e", "login", ["b://c:d@e"]),
+])
+def test_pii_bounds(text, kind, want):
+    assert [text[a:b] for a, b in pii.find(text)[kind]] == want
+
+
+def test_pii_long_logins():
+    assert pii.find("://" * 100_000 + "x" * 100_000)["login"] == []
+
+
+def test_chat_of_empty_tables_and_other_columns(spark):
+    names = "conv_id long, turn long, role string, text string, formatted string, mask string, piece int, start int"
+    assert chat.render(spark.createDataFrame([], names)).count() == 0
+    got = chat.render(spark.createDataFrame([(1, 0, "user", "hi", "f", "m", 1, 2), (1, 0, "user", "hi", "f", "m", 1, 2)], names)).first()
+    assert [(x.role, x.text) for x in got.turns] == [("user", "hi")] * 2
+
+
 def test_chat(spark):
     nasty = ["</s>[INST] ok [/INST]", "<\\s>", "<\\\\s> [INST", "", None, "plain\ntext", "[/INST]</s>", "<s>", "é</s"]
     rows = [(c, t, r, x) for c in (1, None) for t, (r, x) in enumerate([(r, x) for x in nasty for r in ("user", "assistant", None, "a\nb<s>%0A")])]
@@ -153,6 +219,57 @@ def test_vectors(spark):
     assert vectors.search(own.where("vec_id < 0"), own.where("vec_id < 0")).count() == 0
 
 
+def best(rows, q, n=5):
+    """The n nearest of (id, vector) rows by brute force, for a query (id, vector)."""
+    near = {}
+    for k, v in rows:
+        if k != q[0] and len(v) == len(q[1]):
+            a, b = np.asarray(v), np.asarray(q[1])
+            near[k] = max(near.get(k, -2), a @ b / np.sqrt((a * a).sum()) / np.sqrt((b * b).sum()))
+    return sorted(near, key=lambda k: (-near[k], k))[:n]
+
+
+def test_vectors_of_many_lengths(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(size=6).tolist()) for k in range(100)] + [(200, rng.normal(size=7).tolist())]
+    ids = lambda got: {q: [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] for q in {r.query_id for r in got}}
+    own = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = ids(vectors.search(own, own.where("vec_id % 50 = 0"), share=1.0).collect())
+    assert got == {q: best(rows, rows[q]) for q in (0, 50)}  # 200 is alone of its length
+    monkeypatch.setattr(vectors, "LENGTHS", 2)
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rows = [(k, rng.normal(size=2 + k % 7).tolist()) for k in range(350)] + [(3, rows[3][1])]
+    own = spark.createDataFrame([(k, v, "q") for k, v in rows], "vec_id long, v array<double>, dim string").select("vec_id", "v")
+    got = ids(vectors.search(own, own.where("vec_id % 50 = 0"), share=1.0).collect())
+    assert got == {q: best(rows, rows[q]) for q in range(0, 350, 50)}
+
+
+def test_vectors_recall_of_the_default(spark):
+    v = np.random.default_rng(8).normal(size=(10_000, 64))
+    own = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, v array<double>")
+    got = vectors.search(own, own.where("vec_id % 100 = 0")).toPandas()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    found = 0
+    for q, part in got.groupby("query_id"):
+        s = u @ u[q]
+        s[q] = -2
+        found += len(set(part.vec_id) & set(np.argsort(-s)[:5].tolist()))
+        assert np.allclose(s[part.sort_values("rank").vec_id], part.sort_values("rank").score)
+    assert len(got) == 500 and found / 500 >= 0.9
+
+
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=7), st.lists(st.integers(0, 9), min_size=1, max_size=7), st.integers(0, 60), st.randoms())
+@settings(max_examples=200, deadline=None)
+def test_walk_is_by_ascending_sum(a, b, enough, rng):
+    held = np.array([[rng.randint(0, 3) for _ in b] for _ in a])
+    got = vectors.walk(np.array(a, float), np.array(b, float), held, enough)
+    sums = [a[i] + b[j] for i, j in got]
+    assert sums == sorted(sums) and len(set(got)) == len(got) and all(held[i, j] for i, j in got)
+    total = sum(held[i, j] for i, j in got)
+    assert total >= min(enough, held.sum()) and (not got or total - held[got[-1]] < enough)
+    assert not got or all(a[i] + b[j] >= sums[-1] for i in range(len(a)) for j in range(len(b)) if held[i, j] and (i, j) not in got)
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.identify(docs, sample=400).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
@@ -163,6 +280,24 @@ def test_language(spark):
     assert language.identify(table(spark, [])).count() == 0
 
 
+def test_language_keeps_columns_and_rows(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("score", F.lit(-7.0)).withColumn("lang_pred", F.lit("mine")).withColumn("guess", F.lit(1)).withColumn("held_out", F.lit("x"))
+    docs = docs.unionByName(docs.limit(3))
+    kept = language.keep_identified(docs, sample=300)
+    assert kept.columns == docs.columns and kept.where("score != -7.0 or lang_pred != 'mine' or guess != 1").count() == 0
+    rejected = language.identify(docs, sample=300).where("rejected").count()
+    assert kept.count() == docs.count() - rejected and rejected < 10
+    assert language.keep_identified(docs.limit(0)).count() == 0
+
+
+def test_language_has_no_most_languages(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k: letters[k % 26] + letters[k // 26 % 26]
+    rows = [(10 * k + j, " ".join([word(k) * 3, word(k) * 2] * 6), f"l{k:03}") for k in range(520) for j in range(2)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=5000)
+    assert len(model.langs) == 520
+
+
 def test_language_rejects_the_unknown(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.fit(docs.where(~language.held_out()), sample=800)
@@ -215,6 +350,12 @@ def test_mixing(spark):
     assert abs(share - 0.75) < 0.04 and abs(len(a) - 3000) < 250
     assert a.equals(mixing.mix(docs, {"big": 1.0, None: 3.0}).toPandas()) and a.shuffle_key.is_monotonic_increasing
     assert mixing.mix(docs, {"other": 1.0}).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
+    odd = docs.limit(60).select("doc_id", "source", "text", F.lit(1).alias("row"), F.lit(2).alias("table"), F.lit(3).alias("draws"), F.lit(4).alias("times"), F.lit(5).alias("_source"), F.lit("k").alias("copy"), F.lit("k").alias("Shuffle_Key"))
+    got = mixing.mix(odd.unionByName(odd.limit(2)).unionByName(odd.limit(1).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit(None).cast("string"))), {"big": 5.0, None: 5.0})
+    assert got.columns == ["doc_id", "source", "text", "row", "table", "draws", "times", "_source", "copy", "shuffle_key"] and got.count() > 20
+    assert got.groupBy("doc_id", "copy").count().where("doc_id is not null and count > 2").count() == 0
+    many = mixing.mix(spark.createDataFrame([(k, "x", "rare" if k == 0 else "other") for k in range(2000)], "doc_id long, text string, source string"), {"rare": 1.0})
+    assert abs(many.count() - 2000) < 250  # a mean over STEP is a sum of draws
     n = spark.range(4000).select(F.size(F.filter(mixing.poisson_table(F.lit(2.5)), lambda c: c <= mixing.uniform(F.col("id").cast("string")))).alias("n")).agg(F.avg("n"), F.var_pop("n")).first()
     assert abs(n[0] - 2.5) < 0.1 and abs(n[1] - 2.5) < 0.25
 
@@ -256,6 +397,196 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def plain_licence(files, threshold):
+    """(licence, score) of each file by the words of its header units, without Spark."""
+    split = lambda t: [w for w in re.split(r"[^a-z0-9]+", t.lower()) if w]
+    cued = lambda t: any(c in t.lower() for c in licenses.CUES)
+    units = []
+    for path, text in files:
+        for line in re.split("\r\n|[\r\n]", text):
+            if cued(line):
+                w, mine = split(line), set()
+                for span, step in licenses.SPANS:
+                    mine |= {" ".join(w[k * step : k * step + span]) for k in range(max(0, -(-(len(w) - span) // step)) + 1)}
+                units += [(path, u) for u in mine if cued(u)]
+        if re.search(licenses.LICENCE_FILE, path):
+            units.append((path, text))
+    n = len(units) + len(licenses.TEMPLATES)
+    df = Counter(w for _, u in units for w in set(split(u))) + Counter(w for t in licenses.TEMPLATES.values() for w in set(split(t)))
+    vec = lambda t: {w: c * (np.log((1 + n) / (1 + df[w])) + 1) for w, c in Counter(split(t)).items()}
+    unit = lambda v: {w: x / np.sqrt(sum(y * y for y in v.values())) for w, x in v.items()}
+    models = {k: unit(vec(t)) for k, t in licenses.TEMPLATES.items()}
+    out = {}
+    for path, u in units:
+        v = unit(vec(u))
+        s, name = min((-round(sum(x * m.get(w, 0) for w, x in v.items()), 9), k) for k, m in models.items())
+        if -s >= threshold:
+            out[path] = min(out.get(path, (1, "")), (s, name))
+    return {p: (name, -s) for p, (s, name) in out.items()}
+
+
+def test_licenses_are_a_plain_versions(spark):
+    rng, notes = random.Random(3), list(licenses.TEMPLATES.values())
+    word = lambda: rng.choice(["alpha", "beta", "source", "code", "the", "of"]) + str(rng.randint(0, 60))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    files = []
+    for k in range(120):
+        folder = "/".join(["r", *(str(rng.randint(0, 2)) for _ in range(rng.randint(0, 3)))])
+        name = rng.choice(["LICENSE", "a.txt", "b.py", f"c{k}"])
+        text = "\n".join(rng.choice([prose(9), prose(9) + " " + rng.choice(notes) + " " + prose(9), prose(700) + " " + rng.choice(notes) + " " + prose(900), rng.choice(notes), "copyright " + prose(5)]) for _ in range(rng.randint(0, 3)))
+        files.append((f"{folder}/{name}", text))
+    own = plain_licence(files, licenses.THRESHOLD)
+    want = {}
+    for path, _ in files:
+        folder = path.split("/")[:-1]
+        given = {d: min(((-s, n) for p, (n, s) in own.items() if re.search(licenses.LICENCE_FILE, p) and p.split("/")[:-1] == folder[: len(folder) - d]), default=None) for d in range(len(folder) + 1)}
+        up = next(((d, x) for d, x in given.items() if x), None)
+        want[path] = (*own[path], "own", None) if path in own else (up[1][1], -up[1][0], "inherited", up[0]) if up else (None, None, "none", None)
+    rows = spark.createDataFrame([(p, t, "c", 1, "d") for p, t in files], "path string, text string, license string, h int, dir string")
+    got = {r.path: r for r in licenses.scan(rows).collect()}
+    assert set(got) == set(want) and sum(w[2] == "inherited" for w in want.values()) > 10
+    for p, (name, score, origin, depth) in want.items():
+        assert (got[p].license, got[p].origin, got[p].depth) == (name, origin, depth) and (score is None or abs(got[p].score - score) < 1e-6)
+
+
+def plain_contaminated(docs, items):
+    """{(doc_id, item_id)} by windows of words, without Spark."""
+    units = "|".join(benchmark.UNITS.split())
+    letter, number = r"[^\W\d_]", re.compile(r"\b[0-9][0-9x]*\b")
+    anywhere = re.compile(rf"(?<![\w])[A-Z][a-z]{letter}*[0-9]*")
+
+    def values(t):
+        t = re.sub(r"(?<=[0-9])[.,](?=[0-9])", "x", t)
+        return re.sub(rf"(?i)\b([0-9][0-9x]*)\s*({units}|%)(?![^\W_])", r"\1 \2 ", t).replace("%", "percent")
+
+    def template(t, form):
+        t = number.sub(benchmark.NUMBER, re.sub(rf"(?i)\b[0-9][0-9x]*\s+(?:{units})\b", f"{benchmark.NUMBER} {benchmark.UNIT}", values(t)))
+        return anywhere.sub(benchmark.NAME, t) if form == 0 else re.sub(r"(?<=[a-z,] )[A-Z][a-z][A-Za-z0-9]*", benchmark.NAME, t) if form == 1 else t
+
+    split = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
+    slot = {benchmark.NUMBER, benchmark.UNIT, benchmark.NAME}
+    out = set()
+    for item, text in items:
+        raw, asked = split(values(text)), {}
+        for form in range(3):
+            t = split(template(text, form))
+            w = min(benchmark.WIDTH, len(t))
+            for at in range(len(t) - w + 1):
+                if sum(x not in slot for x in t[at : at + w]) >= min(benchmark.LITERAL, w):
+                    asked.setdefault(tuple(t[at : at + w]), set()).add(at)
+        total = len({at for x in asked.values() for at in x})
+        for doc, text in docs:
+            mine, theirs = split(values(text)), split(template(text, 0))
+            hits = [(i, at, {(raw[at + k], mine[i + k]) for k in range(w) if theirs[i + k] in slot}) for i in range(len(theirs) - w + 1) for at in asked.get(tuple(theirs[i : i + w]), ())]
+            places = sorted({i - at for i, at, _ in hits})
+            groups, run = {}, 0
+            for k, p in enumerate(places):
+                run += k > 0 and p - places[k - 1] > benchmark.WIDTH
+                for i, at, s in hits:
+                    if i - at == p:
+                        for g in (("place", p), ("run", run), ("all",)):
+                            groups.setdefault(g, []).append((at, s))
+            for g in groups.values():
+                found, pairs = len({at for at, _ in g}), set().union(*(s for _, s in g))
+                one = min(len({x for x, _ in pairs}), len({y for _, y in pairs})) / len(pairs) if pairs else 1
+                if (found / total >= benchmark.SHARE or found >= benchmark.RUN) and one >= benchmark.CONSISTENT:
+                    out.add((doc, item))
+    return out
+
+
+def test_benchmark_is_a_plain_version(spark):
+    rng = random.Random(6)
+    verbs, nouns, names = ["buys", "sells", "finds", "paints"], ["apples", "pears", "boxes", "cars"], ["Anna", "Bert", "Carla", "Dora"]
+    filler = lambda n: " ".join(rng.choice("so we all go on and see what comes next if it does at last".split()) for _ in range(n))
+
+    def question(seed, fresh):
+        own = random.Random(seed)
+        words = " ".join(own.choice("then when after before while near under over with without".split()) for _ in range(own.randint(2, 9)))
+        a, b = (rng.choice(names), rng.choice(names)) if fresh else (own.choice(names), own.choice(names))
+        m, n = (rng.randint(1, 99), rng.randint(1, 99)) if fresh else (own.randint(1, 99), own.randint(1, 99))
+        return f"{a} {own.choice(verbs)} {m} {own.choice(nouns)}. {words} {b} {own.choice(verbs)} {n} kg of {own.choice(nouns)}. How many does {a} have?"
+
+    items = [(k, question(k, False)) for k in range(25)] + [(90, "tiny one here"), (91, question(3, False))]
+    docs = []
+    for k in range(120):
+        parts = []
+        for _ in range(rng.randint(0, 3)):
+            q = question(rng.randint(0, 40), rng.random() < 0.5)
+            parts += [filler(rng.randint(0, 30)), rng.choice([q, q, q.lower(), q.upper(), q[len(q) // 2 :], q.replace(" of ", " made of ")])]
+        docs.append((k, " ".join([*parts, filler(5), rng.choice(["", "tiny one here"])])))
+    rows = spark.createDataFrame([(k, t, "c", 1, 2, 3) for k, t in docs], "doc_id long, text string, h string, i int, part int, item_id int").select("*", F.lit(1).alias("width"))
+    got = {(r.doc_id, r.item_id) for r in benchmark.contaminated(rows, spark.createDataFrame([(k, t, "c") for k, t in items], "item_id long, text string, h string")).collect()}
+    want = plain_contaminated(docs, items)
+    assert got == want and len(want) > 40
+
+
+def test_benchmark_repeats_and_long_texts(spark):
+    item = "if Anna buys 12 apples and then 7 pears at the market how much fruit does she carry home"
+    items = spark.createDataFrame([(1, item), (1, item), (2, item)], "item_id long, text string")
+    docs = table(spark, [item.upper(), item.lower(), "word " * 200_000 + item, "clean"], [(0, "clean too", None, None, 0, "", "", 0, 0)] * 2)
+    assert {(r.doc_id, r.item_id) for r in benchmark.contaminated(docs, items).collect()} == {(d, i) for d in (0, 1, 2) for i in (1, 2)}
+    assert [r.doc_id for r in benchmark.clean(docs, items).collect()] == [3]
+    two = "a man has 5 apples and 6 pears and 7 plums and 8 nuts for one long day"
+    same = re.sub("[5678]", "4", two)
+    assert benchmark.contaminated(table(spark, [same]), spark.createDataFrame([(1, two)], "item_id long, text string")).count() == 0
+
+
+def test_quality_is_a_plain_version(spark):
+    docs = [(1, "good words here", "c"), (1, "good words here", "c"), (2, "bad words there now", "c"), (3, None, "c"), (4, "", "c"), (None, "good", "c")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, tail_prob string")
+    model = quality.Ordinal([0, 1, 2], np.random.default_rng(1).normal(size=1 << quality.BITS).astype(np.float32), np.array([-0.5, 0.7]))
+    got = quality.rate(rows, model).collect()
+    assert len(got) == 6
+    for r in got:
+        text = next(t for i, t, _ in docs if i == r.doc_id)
+        z = 0.0
+        for _, offsets, buckets in quality.words([text], quality.BITS):
+            n = Counter(buckets[offsets[0] : offsets[1]].tolist())
+            z = sum(model.weights[b] * c for b, c in n.items()) / np.sqrt(sum(c * c for c in n.values()))
+        tails = [1 / (1 + np.exp(-(z - c))) for c in model.cuts]
+        assert abs(r.expected_grade - sum(tails)) < 1e-6 and abs(r.tail_prob - tails[1]) < 1e-6 and r.selected == (bool(text) and tails[1] >= quality.SELECT)
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    steps = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    odd = spark.createDataFrame([(9001, None, None, None, None), (9002, "", None, "web", 0), (9003, "12 34 !", "xx", "web", 7)], docs.schema)
+    docs = docs.unionByName(odd)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), SMALL)
+        assert empty.count() == 0 and (name == "mixing" or empty.columns == docs.columns)
+    ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
+    assert ids(steps["language"](spark, docs, SMALL)) == {r.doc_id for r in language.identify(docs).collect() if not r.rejected} and not ids(steps["language"](spark, docs, SMALL)) & {9001, 9002, 9003}
+    prints, keys = {}, sorted(texts)
+    forest = simhash.Forest(len(keys))
+    for i, k in enumerate(keys):
+        prints[i] = plain_print(texts[k])
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4:
+                forest.join(i, j)
+    assert ids(steps["near_duplicates"](spark, docs, SMALL)) == {keys[i] for i in range(len(keys)) if forest.find(i) == i}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    bad = {r.doc_id for r in benchmark.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {k for k, t in texts.items() if t and any(x in t for _, x in items)} <= bad and ids(steps["decontamination"](spark, docs, SMALL)) == set(texts) - bad
+    masked = {r.doc_id: r for r in steps["personal_data"](spark, docs, SMALL).collect()}
+    assert all(masked[k].text == (None if t is None else pii.masked(t, pii.find(t))) for k, t in texts.items()) and all(r.n_chars == (None if r.text is None else len(r.text)) for r in masked.values())
+    mixed = Counter(r.doc_id for r in steps["mixing"](spark, docs, SMALL).collect())
+    sizes = Counter(r.source for r in docs.collect())
+    total = sum(np.sqrt(n) for n in sizes.values())
+    for r in docs.collect():
+        mean = np.sqrt(sizes[r.source]) / total * len(texts) / sizes[r.source]
+        u, p, k = int(hashlib.md5(f"{mixing.SEED}:{r.doc_id}:1".encode()).hexdigest()[:13], 16) / 2**52, np.exp(-mean), 0
+        t = p
+        while t <= u:
+            k += 1
+            p *= mean / k
+            t += p
+        assert mixed[r.doc_id] == k
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
