@@ -53,6 +53,17 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], total: int, most: int = 10_000) -> DataFrame:
+    """left joined to right, whose keys `on` are unique and whose column n says how many rows of left have the key.
+
+    Keys of over total / most rows (total: rows of left) go by broadcast, of which there are at most `most`, so that no
+    hot key makes a hot task; all others are shuffled. left is read twice.
+    """
+    hot = F.broadcast(right.where(F.col("n") > total / most).drop("n"))
+    rest = right.where(F.col("n") <= total / most).drop("n")
+    return left.join(hot, on).unionByName(left.join(hot.select(*on), on, "left_anti").join(rest, on))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with `value` evaluated once, also where body uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)

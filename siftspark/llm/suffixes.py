@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftspark.llm.common import Powers, chunks_of, durable, forget, utf8
+from siftspark.llm.common import Powers, chunks_of, durable, forget, join_counted, utf8
 
 WINDOW, GRAM, RANGE = 400, 100, 32
 #: A core with more distinct contexts than this is no single task's suffix array: its windows are dealt by their bytes
@@ -224,8 +224,9 @@ def _contexts(open_runs: DataFrame, base: DataFrame, window: int) -> DataFrame:
 def _decided(contexts: DataFrame, window: int) -> DataFrame:
     """(id, key, p, q): runs of window starts that are repeated, by the contexts of each core."""
     distinct = contexts.groupBy("core", "l", "r").agg(F.count("*").alias("n"))
-    cores = distinct.groupBy("core").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
-    few, many = cores.where(F.col("kinds") <= CROWD).select("core"), cores.where(F.col("kinds") > CROWD).select("core")
+    total = contexts.count()
+    cores = distinct.groupBy("core").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).where("n > 1")
+    few, many = cores.where(F.col("kinds") <= CROWD).select("core", "n"), cores.where(F.col("kinds") > CROWD).select("core", "n")
 
     def sort(frames):
         rest = None
@@ -241,17 +242,17 @@ def _decided(contexts: DataFrame, window: int) -> DataFrame:
         if rest is not None and len(rest):
             yield _masks(rest)
 
-    ask = distinct.join(few, "core").repartition("core").sortWithinPartitions("core")
-    masks = ask.mapInPandas(sort, "core binary, l binary, r binary, mask long")
-    marked = contexts.join(masks.where("mask != 0"), ["core", "l", "r"])
+    ask = join_counted(distinct, few, ["core"], total).repartition("core").sortWithinPartitions("core")
+    masks = ask.mapInPandas(sort, "core binary, l binary, r binary, mask long, n long")
+    marked = join_counted(contexts, durable(masks.where("mask != 0"), "masks"), ["core", "l", "r"], total)
     bits = F.expr(f"filter(sequence(0, {RANGE - 1}), k -> (shiftright(mask, k) & 1) = 1)")
     one = marked.select("id", "key", F.explode(bits).alias("k"), "at").select("id", "key", (F.col("at") + F.col("k")).alias("p"))
     # a crowd: each window by itself, named by its core, its bytes left and right and its place
-    crowd = contexts.join(many, "core").select("core", "l", "r", "id", "key", "at", F.explode(F.sequence(F.lit(0), F.octet_length("l") + F.octet_length("r") - (RANGE - 1))).alias("k"))
+    crowd = join_counted(contexts, many, ["core"], total).select("core", "l", "r", "id", "key", "at", F.explode(F.sequence(F.lit(0), F.octet_length("l") + F.octet_length("r") - (RANGE - 1))).alias("k"))
     left = F.expr("substring(l, k + 1, octet_length(l))")
     crowd = crowd.select("core", left.alias("x"), F.expr(f"substring(r, 1, {RANGE - 1} - octet_length(l) + k)").alias("y"), "id", "key", (F.col("at") + F.col("k")).alias("p"))
-    twice = crowd.groupBy("core", "x", "y").agg(F.count("*").alias("n")).where("n > 1").select("core", "x", "y")
-    return one.unionByName(crowd.join(twice, ["core", "x", "y"]).select("id", "key", "p"))
+    twice = crowd.groupBy("core", "x", "y").agg(F.count("*").alias("n")).where("n > 1")
+    return one.unionByName(join_counted(crowd, twice, ["core", "x", "y"], RANGE * total).select("id", "key", "p"))
 
 
 def _masks(part: pd.DataFrame) -> pd.DataFrame:
@@ -278,7 +279,7 @@ def _masks(part: pd.DataFrame) -> pd.DataFrame:
             size += len(todo[-1][1])
     if todo:
         work()
-    return pd.DataFrame({"core": cores, "l": lefts, "r": rights, "mask": np.array(masks, np.int64)})
+    return pd.DataFrame({"core": cores, "l": lefts, "r": rights, "mask": np.array(masks, np.int64), "n": n})
 
 
 def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -286,15 +287,16 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     base = _keyed(docs, doc_id, text)
     every = durable(_runs(base, window), "runs")
     # an anchor that occurs once repeats nothing: its runs go before anything wide is shuffled
-    twice = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    runs = durable(every.join(twice, "h", "left_semi"), "runs")
+    twice, total = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), every.count()
+    runs = durable(join_counted(every, twice, ["h"], total), "runs")
     forget(every)
     # of one row each: every first() of a group is taken from the row that comes first, and any row of it will do
     one = [F.first(c).alias(c) for c in ("id", "key", "place")]
     kinds = durable(runs.groupBy("h", "whole").agg(F.count("*").alias("n"), *one), "kinds")
-    anchors = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
-    contexts = durable(_contexts(kinds.join(anchors, "h").select("id", "key", "place"), base, window), "contexts")
-    same = runs.join(kinds.where("n > 1").select("h", "whole"), ["h", "whole"], "left_semi")
+    anchors = kinds.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    open_runs = join_counted(kinds.select("h", "id", "key", "place"), anchors, ["h"], total)
+    contexts = durable(_contexts(open_runs.select("id", "key", "place"), base, window), "contexts")
+    same = join_counted(runs, kinds.where("n > 1").select("h", "whole", "n"), ["h", "whole"], total)
     p = F.shiftright("place", 32).cast("int")
     same = same.select("id", "key", p.alias("p"), (p + F.shiftright("place", 16).bitwiseAND(F.lit(0xFFFF)).cast("int")).alias("q"))
     return same.unionByName(_decided(contexts, window).select("id", "key", "p", F.col("p").alias("q")))
