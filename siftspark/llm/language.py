@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftspark.llm.common import fresh
+from siftspark.llm.common import fresh, join_counted
 from siftspark.llm.hashed import counted, subwords
 
 BITS, DIM, SAMPLE, EPOCHS, STEPS, RATE, SEED = 16, 16, 2400, 4, 9600, 0.5, 7
@@ -24,6 +24,7 @@ REJECT = 0.4
 #: the others' alone, between which the cut for the unknown lies; held-out rows that a cut needs.
 UNSEEN, OWN, OTHER, ENOUGH = 1e-6, 0.002, 0.98, 20
 UNKNOWN = "und"
+FEW = 50_000
 DIGITS = re.compile(r"\S*\d\S*")
 
 
@@ -114,10 +115,13 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     `sample`, each has the same chance of having a row in it; a language without one can't be learned."""
     rows = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    each = sample / max(1, sizes.count())
-    # rows first by the hash alone, as for the rarest language that is cut; then each language by its own share
+    langs = sizes.count()
+    each = sample / max(1, langs)
     draw = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 40))
-    chosen = rows.select("id", "lang", draw.alias("draw")).join(sizes, "lang").where(F.col("draw") < F.least(F.lit(1.0), F.lit(each) / F.col("n")) * (1 << 40))
+    drawn, shares = rows.select("id", "lang", draw.alias("draw")), sizes.select("lang", "n", F.least(F.lit(1.0), F.lit(each) / F.col("n")).alias("share"))
+    # a language may hold most rows: up to FEW languages (some 50 bytes each) are broadcast, of more only the hot ones
+    drawn = drawn.join(F.broadcast(shares), "lang") if langs <= FEW else join_counted(drawn, shares, ["lang"], rows.count())
+    chosen = drawn.where(F.col("draw") < F.col("share") * (1 << 40))
     chosen = F.broadcast(chosen.select("id", "lang").distinct())  # about `sample` rows
     rows = rows.join(chosen, ["id", "lang"])
 
