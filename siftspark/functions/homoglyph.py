@@ -31,6 +31,20 @@ def deconfuse(c: Column) -> Column:
     return F.translate(plain, _FROM, _TO)
 
 
+def _single() -> dict[str, str]:
+    """Characters whose compatibility form is one ASCII character, by Unicode's own rule, and look-alikes."""
+    table = {c: x for c in map(chr, (*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800))) if len(x := unicodedata.normalize("NFKC", c)) == 1 and x < "\x7f"}
+    return table | dict(zip(_FROM, _TO, strict=True))
+
+
+_SINGLE = _single()
+
+
+def deconfuse_single(c: Column) -> Column:
+    """Like deconfuse() for every character that stands for one ASCII character, without Python: for scans."""
+    return F.translate(visible(c), "".join(_SINGLE), "".join(_SINGLE.values()))
+
+
 def suspicious(c: Column) -> Column:
     """Text that deconfuse() changes, or with letters of more than one of Latin, Cyrillic and Greek."""
     scripts = sum(c.rlike(rf"\p{{Is{s}}}").cast("int") for s in ("Latin", "Cyrillic", "Greek"))

@@ -114,12 +114,25 @@ SECRET_LOOKALIKE = r"AKIA|sk-|hf_|gsk_|pplx-|nvapi-|ghp_|glpat-|xox[bpras]-|AIza
 PERPLEXITY_LIMITS = {"py": 14.0, "js": 18.0, "ts": 18.0, "jsx": 18.0, "tsx": 18.0, "mjs": 18.0, "json": 12.0, "yml": 10.0, "yaml": 10.0, "xml": 10.0, "html": 15.0, "css": 14.0, "java": 14.0, "go": 13.0, "rs": 12.0, "cpp": 12.0, "c": 12.0, "h": 12.0, "rb": 13.0, "php": 14.0, "sh": 12.0, "bash": 12.0}
 VALIDATORS = [("GitHub Token", "https://api.github.com/user", 200, None), ("GitHub Fine-grained", "https://api.github.com/user", 200, None), ("HuggingFace", "https://huggingface.co/api/whoami", 200, None), ("npm token", "https://registry.npmjs.org/-/whoami", 200, None), ("PyPI token", "https://pypi.org/pypi", 403, 401)]
 
-#: A literal that every match of the pattern holds (lower case): a cheap gate before the regex.
+#: Literals (lower case) of which every match of the pattern holds one: a cheap gate before the regex.
 GATES = {
-    "Email Address": "@", "HuggingFace": "hf_", "Groq": "gsk_", "Perplexity": "pplx-", "OpenAI": "sk-", "Anthropic": "sk-ant-", "WeightsAndBiases": "wandb", "AzureOpenAI": "azure",
-    "NVIDIA": "nvapi-", "Cohere": "cohere", "Gemini": "aiza", "Moonshot": "sk-", "Google API Key": "aiza", "Google OAuth Token": "ya29.", "GitHub Token": "gh", "GitHub Fine-grained": "github_pat_",
-    "GitLab Token": "glpat-", "npm token": "npm_", "PyPI token": "pypi-", "Slack Token": "xox", "Supabase Token": "sbp_", "SendGrid Key": "sg.", "JSON Web Token": "eyj", "Private Key Block": "-----begin",
-    "Bearer Token": "bearer", "Twilio Auth Token": "twilio", "Cloudflare API Key": "cloudflare", "Twitter OAuth Secret": "twitter", "Snowflake Password": "snowflake", "URL Credentials": "://",
-    "Docker Password/Token": "env", "Kubernetes Config Secret": "-data:", "Terraform Hardcoded Credential": "_", "DYNA_TRACE_API_TOKEN": "dt0", "DYNA_TRACE_ENV_ID": "dynatrace.com",
-    "POWER_QUERY_WEBCONTENTS": "web.contents", "POWER_QUERY_EXTENSION_CREDENTIAL": "extension.currentcredential", "ELIXIR_SYSTEM_FETCH": "system.", "CLOJURE_SYSTEM_GETENV": "system/getenv", "CASE_CLASS_SECRET": "case class",
+    "Email Address": ("@",), "HuggingFace": ("hf_",), "Groq": ("gsk_",), "Perplexity": ("pplx-",), "OpenAI": ("sk-",), "Anthropic": ("sk-ant-",), "WeightsAndBiases": ("wandb",),
+    "AzureOpenAI": ("azure",), "NVIDIA": ("nvapi-",), "Cohere": ("cohere",), "Gemini": ("aiza",), "Moonshot": ("sk-",), "AWS Access Key ID": ("akia", "asia", "abia", "acca"),
+    "AWS Secret Key": ("aws",), "Google API Key": ("aiza",), "Google OAuth Token": ("ya29.",), "GitHub Token": ("gho_", "ghp_", "ghu_", "ghs_", "ghr_"), "GitHub Fine-grained": ("github_pat_",),
+    "GitLab Token": ("glpat-",), "npm token": ("npm_",), "PyPI token": ("pypi-",), "Slack Token": ("xox",), "Supabase Token": ("sbp_",), "Stripe Key": ("k_live_", "k_test_"),
+    "SendGrid Key": ("sg.",), "JSON Web Token": ("eyj",), "Private Key Block": ("-----begin",), "Bearer Token": ("bearer",), "Twilio Auth Token": ("twilio",), "Cloudflare API Key": ("cloudflare",),
+    "Twitter OAuth Secret": ("twitter",), "Snowflake Password": ("snowflake",), "URL Credentials": ("://",), "Generic Secret Assignment": ("password", "passwd", "secret", "token", "apikey", "api_key"),
+    "Docker Password/Token": ("env",), "Kubernetes Config Secret": ("-data:",), "Terraform Hardcoded Credential": ("_key", "client_secret"), "DYNA_TRACE_API_TOKEN": ("dt0",),
+    "DYNA_TRACE_ENV_ID": ("dynatrace.com",), "DYNA_TRACE_CONFIG": ("dynatrace", "dt"), "POWER_QUERY_WEBCONTENTS": ("web.contents",), "POWER_QUERY_CONNECTION_STRING": ("password", "pwd", "accountkey", "sharedaccesskey"),
+    "POWER_QUERY_HARDCODED_KEY": ("apikey", "accesstoken", "clientsecret"), "POWER_QUERY_EXTENSION_CREDENTIAL": ("extension.currentcredential",), "SCALA_CONFIG_SECRET": ("password", "secret"),
+    "HASKELL_CONFIG_SECRET": ("apikey", "api_key", "token"), "ELIXIR_SYSTEM_FETCH": ("system.",), "CLOJURE_SYSTEM_GETENV": ("system/getenv",), "CASE_CLASS_SECRET": ("case class", "class"),
+    "IGNORE_PREVIOUS": ("ignore",), "NEW_INSTRUCTIONS": ("new",), "SYSTEM_OVERRIDE": ("now",), "DELIMITER_ATTACK": ("##", "<|im_"), "ROLE_SWITCH": ("act",), "PROMPT_LEAK_REQUEST": ("prompt", "instructions"),
+    "ESCAPE_CONTEXT": ("[inst]", "|instruction|", "|user|"), "REPEAT_AFTER_ME": ("repeat",), "INDIRECT_INJECTION": ("prompt",),
 }
+#: Regexes that every line with a match fits, where there is no such literal.
+REGEX_GATES = {
+    "Phone Number (US)": r"\p{Nd}{3}", "SSN (US)": r"\p{Nd}{3}", "Street Address (simple)": r"(?U)\p{Nd}\s", "Zip Code (US)": r"\p{Nd}{5}", "Credit Card": r"[0-9]{4}",
+    "IBAN": r"[A-Z]{2}\p{Nd}{2}", "TogetherAI": r"[0-9a-f]{64}", "Pinecone": r"[a-f0-9]{8}-[a-f0-9]{4}-", "ENTROPY": r"[A-Za-z0-9_\-]{16}",
+}
+#: Every line with a secret, personal data or a word of high entropy fits this.
+SIGNS = r"[^\p{L}\s.,;!?()]|[A-Za-z0-9]{16}"

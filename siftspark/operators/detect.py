@@ -1,71 +1,120 @@
-"""Detectors over lines: one projection finds all matches of all patterns of a line."""
+"""Detectors over lines. A line goes on only for the patterns whose gate it passes (a literal that every match holds, or
+a cheap regex), one row each; so the costly regexes see few lines, and a plan holds each of them once."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftspark.functions import homoglyph
 from siftspark.functions import patterns as P
 from siftspark.functions import text as T
 
-MATCH = "array<struct<category:string,type:string,match:string,ordinal:int>>"
-
-
-def lines(docs: DataFrame, text: str = "text", *keys: str) -> DataFrame:
-    """keys, line (from 1) and content of each line of each text."""
-    return docs.select(*keys, F.posexplode_outer(T.split_lines(F.col(text))).alias("_at", "content")).where("content is not null").select(*keys, (F.col("_at") + 1).alias("line"), "content")
-
-
-def _found(match, family: str, name: str, ordinal: int) -> Column:
-    return F.struct(F.lit(family).alias("category"), F.lit(name).alias("type"), match.alias("match"), F.lit(ordinal).alias("ordinal"))
+TOKEN = r"\b[A-Za-z0-9_\-]{16,}\b"
+BASE64 = r"(?U)\b[A-Za-z0-9+/]{24,}={0,2}\b"
 
 
-def _named(family: str, name: str, ordinal: int):
-    return lambda m: _found(T.strip(m), family, name, ordinal)
+@dataclass(frozen=True)
+class Rule:
+    """One pattern. name finds its gate; decoded: it is looked for inside of Base64 words too."""
 
+    category: str
+    type: str
+    pattern: str
+    ordinal: int
+    name: str = ""
+    decoded: bool = False
 
-def _inside(name: str, ordinal: int, pattern: str):
-    def of(p):
-        return F.transform(T.find_all(p.d, pattern), lambda m: _found(F.concat(p.w, F.lit(" (Decoded: "), T.strip(m), F.lit(")")), "secret", "Obfuscated:" + name, ordinal))
 
-    return of
+def lines(docs: DataFrame, text: str = "text", *keys: str) -> DataFrame:
+    """keys, line (from 1) and content of each line of each text."""
+    return docs.select(*keys, F.posexplode_outer(T.split_lines(F.col(text))).alias("_at", "content")).where("content is not null").select(*keys, (F.col("_at") + 1).alias("line"), "content")
 
 
-def _hits(content: Column, low: Column, family: str, table: dict[str, str], prefix: str = "", base: int = 0) -> list[Column]:
-    out = []
-    for k, (name, pattern) in enumerate(table.items()):
-        found = F.transform(T.find_all(content, pattern), _named(family, prefix + name, base + k))
-        gate = P.GATES.get(name)
-        out.append(F.when(F.contains(low, F.lit(gate)), found).otherwise(F.array().cast(MATCH)) if gate else found)
-    return out
+def _rules(family: str, table: dict[str, str], prefix: str = "", base: int = 0, decoded: bool = False) -> list[Rule]:
+    return [Rule(family, prefix + name, pattern, base + k, name, decoded) for k, (name, pattern) in enumerate(table.items())]
 
 
-def decoded_secrets(content: Column, table: dict[str, str]) -> Column:
-    """Secrets inside Base64 words: at least eleven printable ASCII characters when decoded."""
-    words = F.regexp_extract_all(content, F.lit(r"\b[A-Za-z0-9+/]{24,}={0,2}"), F.lit(0))
+def _decoded(content: Column) -> Column:
+    """(text, word) of each Base64 word that decodes to at least eleven printable ASCII characters."""
+    words = F.array_distinct(F.regexp_extract_all(content, F.lit(BASE64), F.lit(0)))
     bare = lambda w: F.regexp_replace(w, "=+$", "")
     padded = lambda w: F.concat(bare(w), F.repeat(F.lit("="), ((4 - F.length(bare(w)) % 4) % 4).cast("int")))
     plain = lambda w: F.when(F.length(bare(w)) % 4 != 1, F.try_to_binary(padded(w), F.lit("base64")))
-    pairs = F.transform(words, lambda w: F.struct(w.alias("w"), F.when(F.is_valid_utf8(plain(w).cast("string")), plain(w).cast("string")).alias("d")))
-    pairs = F.filter(pairs, lambda p: p.d.rlike(r"^[\x20-\x7e\r\n\t]{11,}$"))
-    each = [F.flatten(F.transform(pairs, _inside(name, 1000 + k, pattern))) for k, (name, pattern) in enumerate(table.items())]
-    return F.when(content.rlike(r"[A-Za-z0-9+/]{24,}"), F.concat(*each)).otherwise(F.array().cast(MATCH))
-
-
-def scan(rows: DataFrame, content: str = "content", secrets: dict | None = None, pii: dict | None = None, injections: dict | None = None, words: list[str] | None = None, base64: bool = True, pii_as_secret: bool = False, drop_hashes: bool = True, ignore: list[str] | None = None) -> DataFrame:
-    """rows with category, type, match and ordinal: one row a finding."""
-    c, low = F.col(content), F.lower(F.col(content))
+    pairs = F.transform(words, lambda w: F.struct(F.when(F.is_valid_utf8(plain(w).cast("string")), plain(w).cast("string")).alias("text"), w.alias("word")))
+    return F.filter(pairs, lambda p: p.text.rlike(r"^[\x20-\x7e\r\n\t]{11,}$"))
+
+
+def _gated(text: Column, rules: list[tuple[int, Rule]]) -> Column:
+    """Numbers of the rules that may match."""
+    literals = [(x, k) for k, r in rules for x in P.GATES.get(r.name, ())]
+    low = F.replace(F.lower(text), F.lit("\u017f"), F.lit("s"))  # the one letter that (?i) takes for an ASCII one and lower() does not
+    table = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(k).alias("k")) for x, k in literals])
+    parts = [F.transform(F.filter(table, lambda g: F.contains(low, g.x)), lambda g: g.k)] if literals else []
+    free = [F.when(text.rlike(P.REGEX_GATES[r.name]), F.lit(k)) if r.name in P.REGEX_GATES else F.lit(k) for k, r in rules if r.name not in P.GATES]
+    if free:
+        parts.append(F.array_compact(F.array(*free)))
+    return F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<int>")
+
+
+def match_rules(rows: DataFrame, content: str, rules: list[Rule], base64: bool = False, lookalikes: bool = False, allowed=None) -> DataFrame:
+    """rows with category, type, match and ordinal: one row a match of a rule. allowed(rule): a condition on the row
+    under which a rule is looked for."""
+    if not rules:
+        return rows.select(*rows.columns, *[F.lit(None).cast(t).alias(n) for n, t in (("category", "string"), ("type", "string"), ("match", "string"), ("ordinal", "int"))]).where("false")
+    c, names = F.col(content), rows.columns
+    own = F.array(F.struct(c.alias("text"), F.lit(None).cast("string").alias("word")))
+    none = F.array().cast("array<struct<text:string,word:string>>")
+    forms = [own]
+    if base64:
+        forms.append(F.when(c.rlike(r"[A-Za-z0-9+/]{24,}"), _decoded(c)).otherwise(none))
+    if lookalikes:
+        clean = homoglyph.deconfuse_single(c)
+        forms.append(F.when(c.rlike(r"[^\x00-\x7f]") & (clean != c), F.array(F.struct(clean.alias("text"), F.lit(None).cast("string").alias("word")))).otherwise(none))
+    seen = rows.where(c.isNotNull()).select(*names, F.explode(F.concat(*forms)).alias("_v")) if len(forms) > 1 else rows.where(c.isNotNull()).select(*names, own[0].alias("_v"))
+    text = F.col("_v.text")
+    numbered = list(enumerate(rules))
+    signs = [(k, r) for k, r in numbered if r.category not in ("injection", "word")]
+    others = [(k, r) for k, r in numbered if r.category in ("injection", "word")]
+    parts = [F.when(text.rlike(P.SIGNS), _gated(text, signs)).otherwise(F.array().cast("array<int>"))] if signs else []
+    parts += [_gated(text, others)] if others else []
+    seen = seen.select(*names, "_v", F.explode(F.concat(*parts)).alias("_k"))
+    if base64:
+        inner = [k for k, r in numbered if r.decoded]
+        seen = seen.where(F.col("_v.word").isNull() | F.col("_k").isin(*inner))
+    hits = F.lit(None).cast("array<string>")
+    for k, r in reversed(numbered):
+        ok = F.col("_k") == k
+        hits = F.when(ok if allowed is None else ok & allowed(r), T.find_all(text, r.pattern)).otherwise(hits)
+    found = seen.select(*names, "_v", "_k", F.explode(hits).alias("match"))
+    of = lambda value: F.element_at(F.array(*[F.lit(value(r)) for r in rules]), F.col("_k") + 1)
+    word, match = F.col("_v.word"), T.strip(F.col("match"))
+    return found.select(
+        *names, F.when(of(lambda r: r.category) == "word", "secret").otherwise(of(lambda r: r.category)).alias("category"),
+        F.when(word.isNotNull(), F.concat(F.lit("Obfuscated:"), of(lambda r: r.type))).otherwise(of(lambda r: r.type)).alias("type"),
+        F.when(word.isNotNull(), F.concat(word, F.lit(" (Decoded: "), match, F.lit(")"))).otherwise(match).alias("match"),
+        F.when(word.isNotNull(), 1000 + of(lambda r: r.ordinal)).otherwise(of(lambda r: r.ordinal)).alias("ordinal"),
+    )
+
+
+def scan(rows: DataFrame, content: str = "content", secrets: dict | None = None, pii: dict | None = None, injections: dict | None = None, words: Iterable[str] = (), base64: bool = True, pii_as_secret: bool = False, drop_hashes: bool = True, ignore: list[str] | None = None, lookalikes: bool = False, entropy: float | None = None) -> DataFrame:
+    """rows with category, type, match and ordinal: one row a finding. With lookalikes, lines are also read with
+    look-alike characters replaced; what both forms show comes twice, for deduplicate(). With entropy (a threshold),
+    words of high entropy come too, and a column entropy."""
     secrets, pii, injections = P.SECRETS if secrets is None else secrets, P.PII if pii is None else pii, P.INJECTIONS if injections is None else injections
-    hits = _hits(c, low, "secret", secrets)
-    if base64 and secrets:
-        hits.append(decoded_secrets(c, secrets))
-    for k, w in enumerate(words or []):
-        found = F.regexp_extract_all(c, F.lit(r"(?i)\Q" + w.replace(r"\E", r"\E\\E\Q") + r"\E"), F.lit(0))
-        hits.append(F.transform(found, _named("secret", f"Sensitive Word: {w}", 2000 + k)))
-    hits += _hits(c, low, "secret" if pii_as_secret else "pii", pii, "PII:" if pii_as_secret else "", 3000)
-    hits += _hits(c, low, "injection", injections, "INJECTION:", 4000)
-    found = rows.select(*rows.columns, F.explode_outer(F.concat(*hits)).alias("_f")).where("_f is not null")
-    found = found.select(*rows.columns, "_f.*")
+    rules = _rules("secret", secrets, decoded=True)
+    rules += [Rule("word", f"Sensitive Word: {w}", r"(?i)\Q" + w.replace(r"\E", r"\E\\E\Q") + r"\E", 2000 + k) for k, w in enumerate(words or ())]
+    rules += _rules("secret" if pii_as_secret else "pii", pii, "PII:" if pii_as_secret else "", 3000)
+    rules += _rules("injection", injections, "INJECTION:", 4000)
+    if entropy is not None:
+        rules.append(Rule("entropy", "ENTROPY", TOKEN, 5000, "ENTROPY"))
+    found = match_rules(rows, content, rules, base64 and bool(secrets), lookalikes)
+    if entropy is not None:
+        token = F.col("category") == "entropy"
+        found = found.where(~token | _entropy_token(F.col("match"))).withColumn("entropy", F.when(token, F.round(T.entropy(F.col("match")), 2))).where(~token | (T.entropy(F.col("match")) >= entropy))
     if drop_hashes:
         found = found.where(~((F.col("category") == "secret") & T.hex_hash(F.col("match"))))
     if pii_as_secret:
@@ -77,18 +126,25 @@ def scan(rows: DataFrame, content: str = "content", secrets: dict | None = None,
 
 def language_rules(rows: DataFrame, file: str = "file", content: str = "content") -> DataFrame:
     """Findings of the rule pack that fits the file's extension."""
-    ext, c, low = T.extension(F.col(file)), F.col(content), F.lower(F.col(content))
-    packs = [F.when(ext.isin(*exts), F.concat(*_hits(c, low, "secret", rules))).otherwise(F.array().cast(MATCH)) for exts, rules in P.LANGUAGE_RULES]
-    return rows.select(*rows.columns, F.explode_outer(F.concat(*packs)).alias("_f")).where("_f is not null").select(*rows.columns, "_f.*")
+    ext, rules, exts = T.extension(F.col(file)), [], {}
+    for of, pack in P.LANGUAGE_RULES:
+        for r in _rules("secret", pack):
+            rules.append(r)
+            exts[r.type] = of
+    return match_rules(rows.where(ext.isin(*[x for of, _ in P.LANGUAGE_RULES for x in of])), content, rules, allowed=lambda r: ext.isin(*exts[r.type]))
+
+
+def _entropy_token(m: Column, skip_hashes: bool = True) -> Column:
+    ok = ~m.rlike("^[0-9]+$") & ~T.ignored_token(m)
+    return ok & ~(m.rlike("^[a-fA-F0-9]+$") & F.length(m).isin(32, 40)) if skip_hashes else ok
 
 
 def entropy_tokens(rows: DataFrame, content: str = "content", threshold: float = 3.8, skip_hashes: bool = True) -> DataFrame:
     """rows with match and entropy of words of 16 and more characters whose entropy reaches the threshold."""
-    found = rows.select(*rows.columns, F.explode_outer(T.find_all(F.col(content), r"\b[A-Za-z0-9_\-]{16,}\b")).alias("match")).where("match is not null")
+    some = rows.where(F.col(content).rlike(P.REGEX_GATES["ENTROPY"]))
+    found = some.select(*rows.columns, F.explode(T.find_all(F.col(content), TOKEN)).alias("match"))
     m = F.col("match")
-    found = found.where(~m.rlike("^[0-9]+$") & ~T.ignored_token(m))
-    if skip_hashes:
-        found = found.where(~(m.rlike("^[a-fA-F0-9]+$") & F.length(m).isin(32, 40)))
+    found = found.where(_entropy_token(m, skip_hashes))
     return found.withColumn("entropy", F.round(T.entropy(m), 2)).where(T.entropy(m) >= threshold)
 
 

@@ -10,11 +10,9 @@ from siftspark.operators import findings as A
 
 
 def snippet(docs: DataFrame, key: str, text: str = "text", threshold: float = 3.8, **options) -> DataFrame:
-    """docs(key, text) -> findings(key, line, category, type, match, entropy)."""
-    rows = detect.lines(docs, text, key)
-    found = detect.scan(rows, **options).select(key, "line", "category", "type", "match", F.lit(None).cast("double").alias("entropy"))
-    tokens = detect.entropy_tokens(rows, threshold=threshold).select(key, "line", F.lit("entropy").alias("category"), F.lit("ENTROPY").alias("type"), "match", "entropy")
-    return found.unionByName(tokens)
+    """docs(key, text) -> findings(key, line, category, type, match, entropy), in one pass over the lines."""
+    found = detect.scan(detect.lines(docs, text, key), entropy=threshold, **options)
+    return found.select(key, "line", "category", "type", "match", "entropy")
 
 
 def document_risk(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 3.8) -> DataFrame:
@@ -27,8 +25,9 @@ def document_risk(docs: DataFrame, key: str = "doc_id", text: str = "text", thre
 
 
 def tree(files: DataFrame, **options) -> DataFrame:
-    """files(file, text): personal data counts as secrets, no entropy; deduplicated."""
-    found = detect.scan(detect.lines(files, "text", "file"), pii_as_secret=True, **options)
+    """files(file, text): personal data counts as secrets, no entropy; look-alikes are read as what they stand for;
+    deduplicated."""
+    found = detect.scan(detect.lines(files, "text", "file"), pii_as_secret=True, **({"lookalikes": True} | options))
     found = found.unionByName(detect.language_rules(detect.lines(files, "text", "file")))
     return A.deduplicate(found, A.KEYS["tree"])
 
