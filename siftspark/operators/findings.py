@@ -92,6 +92,19 @@ def live_counts(validated: DataFrame) -> DataFrame:
     return validated.agg(F.count_if(F.col("valid") & F.col("checked")).alias("live"), F.count_if(F.col("checked") & ~F.col("valid")).alias("dead"))
 
 
+# What a flat list calls the findings of each source.
+FLAT = {"history/secrets": "History Secret", "history/pii": "History PII", "history/entropy": "History Entropy", "tree/current_secrets": "Tree Secret", "tree/nlp_pii": "NLP PII", "crosscheck": "PS Crosscheck", "semgrep": "Semgrep SAST"}
+
+
+def flatten(findings: DataFrame) -> DataFrame:
+    """findings of all sources as one list (category, file, line as text, type, match, entropy); others are left out."""
+    source = F.col("source")
+    kind = F.when(source == "history/entropy", "High Entropy").when(source == "semgrep", F.concat(F.lit("SAST ("), "type", F.lit(")"))).otherwise(F.coalesce("type", F.lit("Secret")))
+    line = F.when(source.isin("tree/nlp_pii", "crosscheck"), "?").otherwise(F.coalesce(F.col("line").cast("string"), F.lit("?")))
+    rows = findings.where(source.isin(*FLAT))
+    return rows.select(T.lookup(source, FLAT, None).alias("category"), F.coalesce("file", F.lit("unknown")).alias("file"), line.alias("line"), kind.alias("type"), F.coalesce("match", F.lit("")).alias("match"), "entropy")
+
+
 def capped(findings: DataFrame, n: int = 500, order: str = "ordinal") -> DataFrame:
     return findings.orderBy(order).limit(n)
 

@@ -17,8 +17,11 @@ def language(path) -> object:
     return F.when(F.substring_index(path, "/", -1) == "Dockerfile", "docker").otherwise(T.lookup(T.extension(path), LANGUAGES, "other"))
 
 
-def languages(files: DataFrame, path: str = "path", top: int = 20) -> DataFrame:
-    return files.select(language(F.col(path)).alias("language")).where("language != 'other'").groupBy("language").agg(F.count("*").alias("files")).orderBy(F.desc("files"), "language").limit(top)
+def languages(files: DataFrame, path: str = "path", top: int = 20, size=None) -> DataFrame:
+    """(language, files), and bytes where `size` gives those of a file."""
+    sums = [] if size is None else [F.sum("_n").alias("bytes")]
+    rows = files.select(language(F.col(path)).alias("language"), (F.lit(0) if size is None else size).cast("long").alias("_n"))
+    return rows.where("language != 'other'").groupBy("language").agg(F.count("*").alias("files"), *sums).orderBy(F.desc("files"), "language").limit(top)
 
 
 def frameworks(files: DataFrame, text: str = "text") -> DataFrame:

@@ -85,13 +85,22 @@ def dispatch(findings: DataFrame, results: DataFrame) -> DataFrame:
     return out.withColumn("risk_tier", F.when(F.coalesce("_live", F.lit(False)), "critical").otherwise(tier(F.col("score")))).drop("_gain", "_live")
 
 
+def validator(type_: Column) -> tuple[Column, Column]:
+    """Endpoint and status of a live secret, by the first rule whose name the type holds; null for others."""
+    endpoint, ok = F.lit(None).cast("string"), F.lit(None).cast("int")
+    for name, url, live, _ in reversed(P.VALIDATORS):
+        fits = F.contains(F.lower(type_), F.lit(name.lower()))
+        endpoint, ok = F.when(fits, url).otherwise(endpoint), F.when(fits, live).otherwise(ok)
+    return endpoint, ok
+
+
 def validate(findings: DataFrame, responses: DataFrame) -> DataFrame:
-    """valid and checked from a table of responses(endpoint, match, status); nothing is called."""
-    rules = findings.sparkSession.createDataFrame([(i, *v) for i, v in enumerate(P.VALIDATORS)], "rank int, name string, endpoint string, ok int, gone int")
-    named = findings.join(F.broadcast(rules), F.contains(F.lower("type"), F.lower("name")), "left")  # five rules
-    first = named.withColumn("_r", F.struct("rank", "endpoint", "ok")).groupBy(*findings.columns).agg(F.min("_r").alias("_r"))
-    out = first.select(*findings.columns, F.col("_r.endpoint").alias("endpoint"), F.col("_r.ok").alias("_ok")).join(responses, ["endpoint", "match"], "left")
-    return out.withColumn("checked", F.col("status").isNotNull()).withColumn("valid", F.coalesce(F.col("status") == F.col("_ok"), F.lit(False))).drop("_ok")
+    """valid and checked from a table of responses(endpoint, match, status), one row a key; nothing is called. Every
+    finding stays a row of its own, equal ones too."""
+    endpoint, ok = validator(F.col("type"))
+    out = findings.withColumn("endpoint", endpoint).withColumn("_ok", ok).join(responses, ["endpoint", "match"], "left")
+    out = out.withColumn("checked", F.col("status").isNotNull()).withColumn("valid", F.coalesce(F.col("status") == F.col("_ok"), F.lit(False)))
+    return out.select(*findings.columns, "endpoint", "status", "checked", "valid")
 
 
 def needs_check(findings: DataFrame) -> DataFrame:
@@ -141,10 +150,22 @@ def prompts(findings: DataFrame, most: int = 20) -> DataFrame:
     return per.select("file", F.concat(F.lit("Review the findings in "), "file", F.lit(". Answer true positive or false positive for each line.\n"), "body").alias("prompt"))
 
 
-def numbered(findings: DataFrame, order: str = "ordinal") -> DataFrame:
-    """finding_id f000000, f000001, ... by rank of `order`, then content; ranks come from ranges, not one task."""
-    key = ["type", "file", "match"]
-    spread = findings.repartitionByRange(order, *key).sortWithinPartitions(order, *key).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % (1 << 33))
-    sizes = spread.groupBy("_p").agg(F.count("*").alias("_c"))
-    starts = sizes.alias("a").join(sizes.alias("b"), F.col("b._p") < F.col("a._p"), "left").groupBy(F.col("a._p").alias("_p")).agg(F.coalesce(F.sum("b._c"), F.lit(0)).alias("_s"))
-    return spread.join(F.broadcast(starts), "_p").withColumn("finding_id", F.format_string("f%06d", F.col("_s") + F.col("_i"))).drop("_p", "_i", "_s")  # one row a partition
+def numbered(findings: DataFrame, order: str = "ordinal", ranges: int = 200) -> DataFrame:
+    """finding_id f000000, f000001, ... by rank of `order` (a number, nearly unique), then content.
+
+    Rows are ranked inside of ranges of `order`, whose bounds are constants of the plan: no task sees all rows, and a
+    row's number does not depend on how the rows happen to be partitioned."""
+    key, value = [order, "type", "file", "match"], F.col(order).cast("double")
+    cuts = findings.agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []
+    cuts = sorted(set(cuts))
+    bounds = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")
+    range_ = F.when(value.isNull(), 0).otherwise(1 + F.size(F.filter(bounds, lambda c: c < value)))
+    spread = findings.withColumn("_p", range_)
+    sizes = {r["_p"]: r["n"] for r in spread.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # one row a range
+    start, starts = 0, []
+    for k in range(len(cuts) + 2):
+        starts.append(start)
+        start += sizes.get(k, 0)
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy(*key)) - 1
+    first = F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("_p") + 1)
+    return spread.withColumn("_i", rank).withColumn("finding_id", F.format_string("f%06d", first + F.col("_i"))).drop("_p", "_i")

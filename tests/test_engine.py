@@ -144,7 +144,7 @@ def test_sources(spark, tmp_path):
 
 
 def test_sinks(spark):
-    found = catalogue.findings(spark)
+    found = catalogue.findings(spark, SMALL)
     report = sinks.audit(found)
     assert sinks.verify_audit(report)
     report["summary"]["secret"] += 1
