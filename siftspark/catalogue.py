@@ -598,3 +598,33 @@ def notebook_cells(spark, sf_dir):
     whole = F.concat(F.lit('{"cells":['), F.to_json(first), F.lit(","), second, F.lit("]}"))
     rows = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("n"), F.col("item_id").cast("string"), F.lit(".ipynb")).alias("path"), whole.alias("text"))
     return code.notebook_cells(rows)
+
+
+@query(f"SELECT text, expected, true AS ok FROM {values([(t, e) for t, e in sinks.SELF_TEST], 'text, expected')}")
+def self_test(spark, sf_dir):
+    return sinks.self_test(spark)
+
+
+@query(f"SELECT count(*) AS files, count(*) FILTER (WHERE {globs_sql('path', P.SUSPICIOUS_FILES)}) AS suspicious, count(*) FILTER (WHERE {globs_sql('path', P.EXCLUDES)}) AS excluded, (SELECT count(DISTINCT item_id % 7) FROM benchmark) AS commits FROM {_PATHS}")
+def plan_counts(spark, sf_dir):
+    patches = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("c"), (F.col("item_id") % 7).cast("string")).alias("commit"))
+    return profile.plan_counts(paths(spark, sf_dir), patches=patches)
+
+
+@query(f"""WITH l AS MATERIALIZED {lines_sql()}, n AS (SELECT doc_id, max(line) AS n FROM l GROUP BY doc_id)
+SELECT doc_id, line, CAST(greatest(0, n - 6) AS BIGINT) AS omitted FROM l JOIN n USING (doc_id) WHERE line <= 3 OR line > n - 3""")
+def head_and_tail(spark, sf_dir):
+    rows = detect.lines(table(spark, sf_dir, "documents"), "text", "doc_id")
+    return A.head_tail(rows, 3, "doc_id").select("doc_id", "line", F.col("omitted").cast("long").alias("omitted"))
+
+
+@query(f"SELECT source, '1' AS one, count(*) AS n FROM {_F} WHERE source IN ({', '.join(map(quoted, sinks.SECTIONS))}) GROUP BY source")
+def report_sections(spark, sf_dir):
+    rows = sinks.report_rows(findings(spark, sf_dir))
+    return rows.groupBy("source").agg(F.lit("1").alias("one"), F.count("*").alias("n"))
+
+
+@query(f"SELECT file, count(DISTINCT type) AS types FROM {_F} GROUP BY file")
+def correction_prompts(spark, sf_dir):
+    made = risk.fix_prompts(findings(spark, sf_dir))
+    return made.select("file", (F.size(F.split("prompt", "\n- ")) - 1).cast("long").alias("types"))

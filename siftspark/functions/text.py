@@ -17,14 +17,19 @@ def java(pattern: str) -> str:
     return "(?U)" + pattern
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with `value` evaluated once, also where body uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def split_lines(text: Column) -> Column:
     """Lines without their ends; a last empty piece is no line."""
-    parts = F.split(text, LINE_BREAK, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    cut = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(text, LINE_BREAK, -1), cut)
 
 
 def find_all(text: Column, pattern: str, group: int = 0) -> Column:

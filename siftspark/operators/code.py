@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import ast
+import base64
 import io
 import re
 import tarfile
 import tokenize
 import zipfile
+from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -78,9 +81,37 @@ def context_filter(rows: DataFrame) -> DataFrame:
     return rows.where(~F.pandas_udf(noisy, "boolean")("text", "line"))
 
 
+@cache
+def _patterns(family: str) -> list[tuple[re.Pattern, tuple[str, ...], bool]]:
+    """(regex, literals of which a match holds one, whether it holds a digit) of each rule."""
+    table = P.SECRETS if family == "secret" else P.PII
+    return [(re.compile(p), P.GATES.get(n, ()), family == "pii" and n != "Email Address") for n, p in table.items()]
+
+
+def _spans(text: str, family: str) -> list[tuple[int, int]]:
+    low, digit = text.lower().replace("\u017f", "s"), re.search(r"\d", text)
+    live = (p for p, gates, counted in _patterns(family) if (not gates or any(g in low for g in gates)) and (digit or not counted))
+    return [m.span() for p in live for m in p.finditer(text)]
+
+
+def _hidden(text: str) -> list[tuple[int, int]]:
+    """Base64 words with a secret inside."""
+    out = []
+    for m in re.finditer(r"\b[A-Za-z0-9+/]{24,}={0,2}\b", text):
+        try:
+            word = m[0].rstrip("=")
+            plain = base64.b64decode(word + "=" * (-len(word) % 4)).decode()
+        except ValueError:
+            continue
+        if len(plain) > 10 and all(" " <= c <= "~" or c in "\r\n\t" for c in plain) and _spans(plain, "secret"):
+            out.append(m.span())
+    return out
+
+
 def redact_text(text: str, words: tuple[str, ...] = ()) -> str:
-    """The text with all secrets, personal data and words redacted; overlaps go to the first and longest."""
-    spans = [m.span() for p in (*P.SECRETS.values(), *P.PII.values()) for m in re.finditer(p, text)]
+    """The text with all secrets, also those in Base64 words, personal data and words redacted; overlaps go to the first
+    and longest."""
+    spans = _spans(text, "secret") + _hidden(text) + _spans(text, "pii")
     spans += [m.span() for w in words for m in re.finditer(re.escape(w), text, re.IGNORECASE)]
     out, last = [], 0
     for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
@@ -99,6 +130,39 @@ def redact_documents(docs: DataFrame, text: str = "text", words: tuple[str, ...]
     return docs.withColumn(text, F.pandas_udf(each, "string")(text))
 
 
+def redact_file(path: str, words: tuple[str, ...] = (), dry_run: bool = False, most: int | None = 1_000_000) -> str:
+    """Redacts a file in place behind a backup `.bak`; nothing is written for `missing`, `too large`, `clean` and, on a
+    dry run, `would change` files. The backup is complete before the file changes, and an old one is kept, so a task
+    that runs again changes nothing more. most: bytes of a file at most, None for any."""
+    at = Path(path)
+    if not at.is_file():
+        return "missing"
+    if most is not None and at.stat().st_size > most:
+        return "too large"
+    text = at.read_text(encoding="utf-8", errors="ignore")
+    clean = redact_text(text, words)
+    if clean == text:
+        return "clean"
+    if dry_run:
+        return "would change"
+    backup, new = at.with_name(at.name + ".bak"), at.with_name(at.name + ".new")
+    if not backup.exists():
+        new.write_text(text, encoding="utf-8")
+        new.replace(backup)
+    new.write_text(clean, encoding="utf-8")
+    new.replace(at)
+    return "redacted"
+
+
+def redact_files(files: DataFrame, path: str = "path", words: tuple[str, ...] = (), dry_run: bool = False, most: int | None = 1_000_000) -> DataFrame:
+    """(path, status) of each distinct path of files on a folder that the executors share; findings do as files."""
+    def each(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: redact_file(p.removeprefix("file:"), words, dry_run, most))
+
+    names = files.select(F.col(path).alias("path")).where("path is not null").distinct()
+    return names.withColumn("status", F.pandas_udf(each, "string")("path"))
+
+
 def unpack(files: DataFrame, kind: str) -> DataFrame:
     """files(label, content) -> (label, content): members of tar archives (layers of images too) or of zip archives;
     a broken archive stays as it is."""

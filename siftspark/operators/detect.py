@@ -48,12 +48,28 @@ def _decoded(content: Column) -> Column:
     return F.filter(pairs, lambda p: p.text.rlike(r"^[\x20-\x7e\r\n\t]{11,}$"))
 
 
+def _low(text: Column) -> Column:
+    # the one letter that (?i) takes for an ASCII one and lower() does not
+    return F.replace(F.lower(text), F.lit("\u017f"), F.lit("s"))
+
+
+def _worth(text: Column, signs: bool, others: list[Rule], lookalikes: bool) -> Column:
+    """Lines that any rule may match: most are done with here, before anything is built for them."""
+    if any(r.name not in P.GATES for r in others):
+        return F.lit(True)
+    out = text.rlike(P.SIGNS + (r"|[^\x00-\x7f]" if lookalikes else "")) if signs or lookalikes else F.lit(False)
+    if others:
+        words = F.array(*[F.lit(x) for x in sorted({x for r in others for x in P.GATES[r.name]})])
+        out = out | T.let(_low(text), lambda t: F.exists(words, lambda x: F.contains(t, x)))
+    return out
+
+
 def _gated(text: Column, rules: list[tuple[int, Rule]]) -> Column:
     """Numbers of the rules that may match."""
     literals = [(x, k) for k, r in rules for x in P.GATES.get(r.name, ())]
-    low = F.replace(F.lower(text), F.lit("\u017f"), F.lit("s"))  # the one letter that (?i) takes for an ASCII one and lower() does not
+    low = _low(text)
     table = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(k).alias("k")) for x, k in literals])
-    parts = [F.transform(F.filter(table, lambda g: F.contains(low, g.x)), lambda g: g.k)] if literals else []
+    parts = [T.let(low, lambda t: F.transform(F.filter(table, lambda g: F.contains(t, g.x)), lambda g: g.k))] if literals else []
     free = [F.when(text.rlike(P.REGEX_GATES[r.name]), F.lit(k)) if r.name in P.REGEX_GATES else F.lit(k) for k, r in rules if r.name not in P.GATES]
     if free:
         parts.append(F.array_compact(F.array(*free)))
@@ -66,6 +82,10 @@ def match_rules(rows: DataFrame, content: str, rules: list[Rule], base64: bool =
     if not rules:
         return rows.select(*rows.columns, *[F.lit(None).cast(t).alias(n) for n, t in (("category", "string"), ("type", "string"), ("match", "string"), ("ordinal", "int"))]).where("false")
     c, names = F.col(content), rows.columns
+    numbered = list(enumerate(rules))
+    signs = [(k, r) for k, r in numbered if r.category not in ("injection", "word")]
+    others = [(k, r) for k, r in numbered if r.category in ("injection", "word")]
+    rows = rows.where(c.isNotNull() & _worth(c, bool(signs), [r for _, r in others], lookalikes))
     own = F.array(F.struct(c.alias("text"), F.lit(None).cast("string").alias("word")))
     none = F.array().cast("array<struct<text:string,word:string>>")
     forms = [own]
@@ -74,11 +94,8 @@ def match_rules(rows: DataFrame, content: str, rules: list[Rule], base64: bool =
     if lookalikes:
         clean = homoglyph.deconfuse_single(c)
         forms.append(F.when(c.rlike(r"[^\x00-\x7f]") & (clean != c), F.array(F.struct(clean.alias("text"), F.lit(None).cast("string").alias("word")))).otherwise(none))
-    seen = rows.where(c.isNotNull()).select(*names, F.explode(F.concat(*forms)).alias("_v")) if len(forms) > 1 else rows.where(c.isNotNull()).select(*names, own[0].alias("_v"))
+    seen = rows.select(*names, F.explode(F.concat(*forms)).alias("_v")) if len(forms) > 1 else rows.select(*names, own[0].alias("_v"))
     text = F.col("_v.text")
-    numbered = list(enumerate(rules))
-    signs = [(k, r) for k, r in numbered if r.category not in ("injection", "word")]
-    others = [(k, r) for k, r in numbered if r.category in ("injection", "word")]
     parts = [F.when(text.rlike(P.SIGNS), _gated(text, signs)).otherwise(F.array().cast("array<int>"))] if signs else []
     parts += [_gated(text, others)] if others else []
     seen = seen.select(*names, "_v", F.explode(F.concat(*parts)).alias("_k"))

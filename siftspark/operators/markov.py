@@ -11,10 +11,10 @@ from siftspark.functions import text as T
 ORDER = 5
 
 
-def safe_text(docs: DataFrame, text: str = "text", most: int = 65_536) -> DataFrame:
-    """Texts without lines that look like secrets, up to `most` characters of each (the model's own limit)."""
-    kept = F.filter(T.split_lines(F.col(text)), lambda x: ~x.rlike(P.SECRET_LOOKALIKE))
-    return docs.withColumn(text, F.substring(F.array_join(kept, "\n"), 1, most))
+def safe_text(docs: DataFrame, text: str = "text", most: int | None = None) -> DataFrame:
+    """Texts without lines that look like secrets; up to `most` characters of each where that is given."""
+    kept = F.array_join(F.filter(T.split_lines(F.col(text)), lambda x: ~x.rlike(P.SECRET_LOOKALIKE)), "\n")
+    return docs.withColumn(text, kept if most is None else F.substring(kept, 1, most))
 
 
 def ngrams(docs: DataFrame, text: str = "text", order: int = ORDER, *keys: str) -> DataFrame:

@@ -46,8 +46,11 @@ def repo_type(languages_: DataFrame, frameworks_: DataFrame) -> DataFrame:
     return a.join(F.broadcast(b)).select(kind.alias("repo_type"), F.array_sort(F.array_except(F.array(*[F.lit(e) for e in ENGINES]), needed)).alias("skipped_engines"))  # one row each
 
 
-def plan_counts(files: DataFrame, path: str = "path") -> DataFrame:
-    """What a scan would read, without reading content."""
+def plan_counts(files: DataFrame, path: str = "path", patches: DataFrame | None = None) -> DataFrame:
+    """What a scan would read, without reading content; with the number of commits of patches(commit)."""
     from siftspark.functions import patterns as P
 
-    return files.agg(F.count("*").alias("files"), F.count_if(T.matches_glob(F.col(path), P.SUSPICIOUS_FILES)).alias("suspicious"), F.count_if(T.matches_glob(F.col(path), P.EXCLUDES)).alias("excluded"))
+    out = files.agg(F.count("*").alias("files"), F.count_if(T.matches_glob(F.col(path), P.SUSPICIOUS_FILES)).alias("suspicious"), F.count_if(T.matches_glob(F.col(path), P.EXCLUDES)).alias("excluded"))
+    if patches is None:
+        return out
+    return out.crossJoin(F.broadcast(patches.where("commit != ''").agg(F.countDistinct("commit").alias("commits"))))  # one row each

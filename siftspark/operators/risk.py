@@ -150,6 +150,27 @@ def prompts(findings: DataFrame, most: int = 20) -> DataFrame:
     return per.select("file", F.concat(F.lit("Review the findings in "), "file", F.lit(". Answer true positive or false positive for each line.\n"), "body").alias("prompt"))
 
 
+def summary_prompt(findings: DataFrame, top: int = 10) -> DataFrame:
+    """One row: a prompt with the counts by tier and the most frequent types."""
+    tiers = findings.groupBy("risk_tier").agg(F.count("*").alias("n")).agg(F.array_join(F.array_sort(F.collect_list(F.format_string("%s: %d", "risk_tier", "n"))), ", ").alias("tiers"))
+    kinds = findings.groupBy("type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type").limit(top).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "type"))), lambda x: F.format_string("%s: %d", x["type"], -x.m)), ", ").alias("kinds"))
+    return tiers.crossJoin(F.broadcast(kinds)).select(F.format_string("Summarise the risk of these findings for an owner of the code.\nBy tier: %s\nBy type: %s", "tiers", "kinds").alias("prompt"))  # one row each
+
+
+#: What to do about a finding, by words of its type; the last one fits all.
+REMEDIES = [("injection", "Treat the text as data and escape it."), ("entropy", "If it is a secret, move it to a store of secrets."), ("email", "Replace the address by a reserved one."), ("ssn", "Remove the number."), ("credit", "Remove the number."), ("key", "Revoke it and read it from the environment."), ("token", "Revoke it and read it from the environment."), ("password", "Change it and read it from the environment."), ("", "Remove it from the file and its history.")]
+
+
+def fix_prompts(findings: DataFrame) -> DataFrame:
+    """One prompt a file: its distinct types with masked examples and what to do about each."""
+    remedy = F.lit(None).cast("string")
+    for word, text in reversed(REMEDIES):
+        remedy = F.when(F.contains(F.lower("type"), F.lit(word)), text).otherwise(remedy)
+    per = findings.groupBy("file", "type").agg(F.min("line").alias("line"), F.min(T.redact(F.col("match"))).alias("example"), F.count("*").alias("n"))
+    text = F.format_string("- %s (%d, first in line %s, such as %s): %s", F.col("type"), F.col("n"), F.coalesce(F.col("line").cast("string"), F.lit("?")), F.col("example"), remedy)
+    return per.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list(text)), "\n").alias("body")).select("file", F.concat(F.lit("Correct the file "), F.coalesce("file", F.lit("unknown")), F.lit(" and return it whole.\n"), "body").alias("prompt"))
+
+
 def numbered(findings: DataFrame, order: str = "ordinal", ranges: int = 200) -> DataFrame:
     """finding_id f000000, f000001, ... by rank of `order` (a number, nearly unique), then content.
 

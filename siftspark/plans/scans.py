@@ -17,7 +17,7 @@ def snippet(docs: DataFrame, key: str, text: str = "text", threshold: float = 3.
 
 def document_risk(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 3.8) -> DataFrame:
     """One row a document, also for those without findings: counts, safety score, label."""
-    found = snippet(docs, key, text, threshold).select(key, "line", "category", "type", "match").distinct()
+    found = snippet(docs, key, text, threshold, injections={}).select(key, "line", "category", "type", "match").distinct()
     per = found.groupBy(key).agg(*[F.count_if(F.col("category") == c).alias(a) for c, a in (("secret", "secrets"), ("pii", "pii"), ("entropy", "entropy"))])
     out = docs.select(key).join(per, key, "left").select(key, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("secrets", "pii", "entropy")])
     score = A.safety(F.col("secrets"), F.col("pii"), F.col("entropy"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import subprocess
 import tomllib
 from pathlib import Path
@@ -40,23 +41,60 @@ def as_sources(rows: DataFrame, origin: str) -> DataFrame:
 
 
 def path(spark: SparkSession, root: str, exclude: list[str] | None = None, max_kb: int = 1024) -> DataFrame:
-    """Files under root without excluded ones; the size gate is pushed to the scan, so larger files are not read."""
+    """Files under root without excluded ones; the size gate is pushed to the scan, so larger files are not read. Spark
+    passes over names that start with a dot or an underscore, `.env` for one: in a folder of the file system, which all
+    machines see, these are listed and read by themselves; of other stores they are not read."""
     base = os.path.abspath(root) if "://" not in root else root
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).where(F.col("length") <= max_kb * 1024)
-    return as_sources(excluded(files.withColumn("label", F.regexp_replace("path", "^file:", "")), base, exclude).select("label", "content"), "path")
+    files = files.select(F.regexp_replace("path", "^file:", "").alias("label"), "content")
+    if "://" not in base:
+        files = files.unionByName(_hidden_files(spark, base, max_kb * 1024))
+    return as_sources(excluded(files, base, exclude).select("label", "content"), "path")
+
+
+def _hidden_files(spark: SparkSession, base: str, most: int) -> DataFrame:
+    """(label, content) of the files that Spark's listing passes over, few as a rule."""
+    found = []
+    for top, folders, names in os.walk(base):
+        folders[:] = [d for d in folders if d != ".git"]
+        inside = any(x.startswith((".", "_")) for x in Path(os.path.relpath(top, base)).parts if x != ".")
+        found += [(f"{top}/{n}",) for n in names if inside or n.startswith((".", "_"))]
+
+    def read_(labels: pd.Series) -> pd.Series:
+        return labels.map(lambda p: Path(p).read_bytes() if Path(p).is_file() and Path(p).stat().st_size <= most else None)
+
+    rows = spark.createDataFrame(found, "label string")
+    return rows.withColumn("content", F.pandas_udf(read_, "binary")("label")).where("content is not null")
 
 
 def excluded(files: DataFrame, base: str, globs: list[str] | None = None) -> DataFrame:
-    """files(label) without those that a glob fits; a glob that ends in a slash prunes a top folder."""
+    """files(label) without those that a glob fits, or in a folder that one fits: by its path or its name, with or
+    without a slash behind; so `name/` prunes a top folder, and `name` a folder at any depth."""
     globs = P.EXCLUDES if globs is None else globs
-    rel = F.regexp_replace("label", "^" + base.rstrip("/").replace(".", r"\.") + "/?", "")
-    out = files.where(~rel.rlike("^\\.git/"))
-    names, folders = [g for g in globs if not g.endswith("/")], [g for g in globs if g.endswith("/")]
-    first = F.concat(F.substring_index(rel, "/", 1), F.lit("/"))
-    inside = F.lit(False)
-    for g in folders:
-        inside = inside | (F.contains(rel, F.lit("/")) & first.rlike(T.glob_regex(g)))
-    return out.where(~T.matches_glob(rel, names) & ~inside) if names else out.where(~inside)
+    rel = F.regexp_replace("label", "^" + re.escape(base.rstrip("/")) + "/?", "") if base else F.col("label")
+    out = files.where(~rel.rlike(r"(^|/)\.git/"))
+    if not globs:
+        return out
+    parts = F.split(rel, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    inside = F.when(F.size(parts) > 1, F.exists(above, lambda d: T.matches_glob(d, globs) | T.matches_glob(F.concat(d, F.lit("/")), globs))).otherwise(False)
+    return out.where(~T.matches_glob(rel, [g for g in globs if not g.endswith("/")]) & ~inside)
+
+
+def submodules(root: str) -> list[str]:
+    """Paths of a repository's submodules, from its .gitmodules."""
+    if not Path(root, ".gitmodules").exists():
+        return []
+    done = subprocess.run(["git", "config", "--file", str(Path(root, ".gitmodules")), "--get-regexp", r"\.path$"], capture_output=True, text=True, errors="replace")
+    return [line.split(" ", 1)[1] for line in done.stdout.splitlines() if " " in line]
+
+
+def with_submodules(sources: DataFrame, root: str) -> DataFrame:
+    """sources(label) of a repository with `submodule`: the path of the one that a file belongs to, null for the rest."""
+    base, of = os.path.abspath(root), F.lit(None).cast("string")
+    for path_ in sorted(submodules(root), key=len):  # an inner one wins
+        of = F.when(F.startswith("label", F.lit(f"{base}/{path_}/")), path_).otherwise(of)
+    return sources.withColumn("submodule", of)
 
 
 def is_binary(content) -> object:
@@ -127,8 +165,6 @@ def settings(root: str, given: dict | None = None, names: tuple[str, ...] = (".s
 
 def pattern_pack(content: str) -> dict[str, str]:
     """Name -> regex of a JSON pack: an object, or a list of objects with name and regex; invalid ones are left out."""
-    import re
-
     data = json.loads(content)
     pairs = data.items() if isinstance(data, dict) else [(x.get("name"), x.get("regex") or x.get("pattern")) for x in data]
     out = {}

@@ -48,3 +48,8 @@ def forget(state: DataFrame, paths: list[str]) -> DataFrame:
 def state_counts(state: DataFrame, now) -> DataFrame:
     recent = F.col("scanned_at") >= F.lit(now).cast("timestamp") - F.expr("interval 24 hours")
     return state.agg(F.count("*").alias("total"), F.count_if(recent).alias("last_day"))
+
+
+def alerts(validated: DataFrame) -> DataFrame:
+    """Findings that are live, for a monitor that runs on a schedule: it has something to say if there is any row."""
+    return validated.where(F.col("valid") & F.col("checked"))
