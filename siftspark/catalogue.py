@@ -628,3 +628,9 @@ def report_sections(spark, sf_dir):
 def correction_prompts(spark, sf_dir):
     made = risk.fix_prompts(findings(spark, sf_dir))
     return made.select("file", (F.size(F.split("prompt", "\n- ")) - 1).cast("long").alias("types"))
+
+
+@query(f"WITH l AS MATERIALIZED {lines_sql('conversations', 'conv_id', 'text')} SELECT conv_id, unnest(regexp_extract_all(content, '(?i)\\b(?:{'|'.join(detect.PRONOUNS)})\\b')) AS match FROM l")
+def pronoun_findings(spark, sf_dir):
+    rows = detect.lines(table(spark, sf_dir, "conversations"), "text", "conv_id")
+    return detect.recognise(rows).select("conv_id", "match")

@@ -53,12 +53,28 @@ def tainted_names(source: str, token: str) -> tuple[list[str], list[str]]:
     return sorted(names), sorted(calls)
 
 
-def syntax_taint(rows: DataFrame) -> DataFrame:
-    """rows(text, match, ...) of Python files with tainted_vars and calls."""
-    def find(texts: pd.Series, tokens: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([tainted_names(t or "", m or "") for t, m in zip(texts, tokens, strict=True)], columns=["tainted_vars", "calls"])
+SCRIPTS = ("js", "mjs", "cjs", "ts", "tsx", "jsx")
 
-    return rows.withColumn("_x", F.pandas_udf(find, "tainted_vars array<string>, calls array<string>")("text", "match")).select(*rows.columns, "_x.*")
+
+def script_names(source: str, token: str) -> tuple[list[str], list[str]]:
+    """The same for JavaScript and TypeScript, by assignments and calls of a line."""
+    names = {m[1] for line in source.splitlines() if token in line for m in [re.match(r"\s*(?:(?:export\s+)?(?:const|let|var)\s+)?([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=(?!=)", line)] if m}
+    calls = {m[1] for m in re.finditer(r"([A-Za-z_$][\w$.]*)\s*\(([^()]*)\)", source) if names & set(re.findall(r"[A-Za-z_$][\w$]*", m[2]))}
+    return sorted(names), sorted(calls)
+
+
+def _extension(file) -> str:
+    return (file or "").rsplit(".", 1)[-1].lower()
+
+
+def syntax_taint(rows: DataFrame, file: str | None = None) -> DataFrame:
+    """rows(text, match, ...) with tainted_vars and calls; `file` tells scripts from Python, which is the default."""
+    def find(texts: pd.Series, tokens: pd.Series, files: pd.Series) -> pd.DataFrame:
+        of = lambda f: script_names if _extension(f) in SCRIPTS else tainted_names
+        return pd.DataFrame([of(f)(t or "", m or "") if m else ([], []) for t, m, f in zip(texts, tokens, files, strict=True)], columns=["tainted_vars", "calls"])
+
+    at = F.col(file) if file else F.lit("x.py")
+    return rows.withColumn("_x", F.pandas_udf(find, "tainted_vars array<string>, calls array<string>")("text", "match", at)).select(*rows.columns, "_x.*")
 
 
 def in_noise(source: str, line: int) -> bool:
@@ -73,12 +89,40 @@ def in_noise(source: str, line: int) -> bool:
         return 0 < line <= len(lines) and bool(re.match(r"\s*(#|//|/\*|\*|--)", lines[line - 1]))
 
 
-def context_filter(rows: DataFrame) -> DataFrame:
-    """rows(text, line, ...) without those in comments and test code."""
-    def noisy(texts: pd.Series, at: pd.Series) -> pd.Series:
-        return pd.Series([in_noise(a or "", int(b)) for a, b in zip(texts, at, strict=True)])
+_SCRIPT = re.compile(r"""(?P<block>/\*.*?(?:\*/|\Z))|(?P<line>//[^\n]*)|(?P<text>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(?P<open>\{)|(?P<close>\})""", re.S)
 
-    return rows.where(~F.pandas_udf(noisy, "boolean")("text", "line"))
+
+def script_noise(source: str, line: int) -> bool:
+    """Whether a line of a script starts in a comment or in a block headed by a name of test code."""
+    lines = source.split("\n")
+    if not 0 < line <= len(lines):
+        return False
+    begin = sum(len(x) + 1 for x in lines[: line - 1])
+    begin += len(lines[line - 1]) - len(lines[line - 1].lstrip())
+    heads, last = [], 0
+    for m in _SCRIPT.finditer(source):
+        if m.start() > begin:
+            break
+        if m["block"] or m["line"]:
+            if m.start() <= begin < m.end():
+                return True
+        elif m["open"]:
+            head = source[last : m.start()].rsplit(";", 1)[-1]
+            heads.append(any(n in head for n in TEST_NAMES))
+        elif m["close"] and heads:
+            heads.pop()
+        if not m["text"]:
+            last = m.end()
+    return any(heads)
+
+
+def context_filter(rows: DataFrame, file: str | None = None) -> DataFrame:
+    """rows(text, line, ...) without those in comments and test code; `file` tells scripts from Python, the default."""
+    def noisy(texts: pd.Series, at: pd.Series, files: pd.Series) -> pd.Series:
+        of = lambda f: script_noise if _extension(f) in SCRIPTS else in_noise
+        return pd.Series([of(f)(a or "", int(b)) for a, b, f in zip(texts, at, files, strict=True)])
+
+    return rows.where(~F.pandas_udf(noisy, "boolean")("text", "line", F.col(file) if file else F.lit("x.py")))
 
 
 @cache

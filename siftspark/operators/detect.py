@@ -3,9 +3,11 @@ a cheap regex), one row each; so the costly regexes see few lines, and a plan ho
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,6 +167,25 @@ def entropy_tokens(rows: DataFrame, content: str = "content", threshold: float =
     return found.withColumn("entropy", F.round(T.entropy(m), 2)).where(T.entropy(m) >= threshold)
 
 
+# Fixed values.
+PRONOUNS = "he him his himself she her hers herself".split()
+
+
+def pronouns(texts: list[str]) -> list[list[tuple[str, str]]]:
+    """The recogniser that needs no model."""
+    return [[("PRONOUN", m[0]) for m in re.finditer(rf"(?i)\b(?:{'|'.join(PRONOUNS)})\b", t)] for t in texts]
+
+
+def recognise(rows: DataFrame, recogniser: Callable[[list[str]], list[list[tuple[str, str]]]] = pronouns, content: str = "content", prefix: str = "") -> DataFrame:
+    """rows with category nlp_pii, type and match, as any recogniser finds them: a function that executors can import,
+    from a batch of texts to the (type, match) pairs of each. Models go in here, `prefix` before their types."""
+    def find(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"type": prefix + t, "match": m} for t, m in found] for found in recogniser([x or "" for x in texts])])
+
+    found = F.pandas_udf(find, "array<struct<type:string,match:string>>")(F.col(content))
+    return rows.withColumn("_x", found).select(*rows.columns, F.explode("_x").alias("_f")).select(*rows.columns, F.lit("nlp_pii").alias("category"), "_f.*")
+
+
 def suspicious_files(files: DataFrame, path: str = "path") -> DataFrame:
     return files.where(T.matches_glob(F.col(path), P.SUSPICIOUS_FILES))
 

@@ -133,11 +133,23 @@ def urls(rows: DataFrame, timeout: int = 15) -> DataFrame:
 
 
 def git_patches(spark: SparkSession, repo: str, kind: str = "history", since: str | None = None, base: str = "main") -> DataFrame:
-    """(commit, n, text, origin) of a local repository's history, reflog, diff to a base or stash."""
-    log = ["log", "-p", "--no-color"]
-    if since:
-        log += [f"--since={since}"] if any(w in since for w in ("-", "/", ":", "ago", "week", "day", "month", "year")) else [f"{since}..HEAD"]
-    calls = {"history": [[*log, "--all"]], "reflog": [["reflog", "show", "--all", "-p"]], "diff": [["diff", f"{base}...HEAD", "--unified=0"], ["diff", base, "HEAD", "--unified=0"]], "stash": [["stash", "list", "-p"]]}[kind]
+    """(commit, n, text, origin) of a repository's history, reflog, diff to a base or stash; n counts the lines of a
+    commit. A history's commits are listed here and read by the executors, which share the folder of the repository."""
+    if kind == "history":
+        dated = since and any(w in since for w in ("-", "/", ":", "ago", "week", "day", "month", "year"))
+        range_ = [f"--since={since}", "--all"] if dated else [f"{since}..HEAD"] if since else ["--all"]
+        listed = subprocess.run(["git", "-C", repo, "rev-list", *range_], capture_output=True, text=True, errors="replace").stdout.split()
+
+        def show(frames):
+            for f in frames:
+                for commit in f["commit"]:
+                    done = subprocess.run(["git", "-C", repo, "log", "-p", "-1", "--no-color", commit], capture_output=True, text=True, errors="replace")
+                    lines = done.stdout.split("\n")
+                    yield pd.DataFrame({"commit": commit, "n": range(len(lines)), "text": lines, "origin": kind})
+
+        commits = spark.createDataFrame([(c,) for c in listed], "commit string")
+        return commits.mapInPandas(show, "commit string, n long, text string, origin string")
+    calls = {"reflog": [["reflog", "show", "--all", "-p"]], "diff": [["diff", f"{base}...HEAD", "--unified=0"], ["diff", base, "HEAD", "--unified=0"]], "stash": [["stash", "list", "-p"]]}[kind]
     out = ""
     for call in calls:
         done = subprocess.run(["git", "-C", repo, *call], capture_output=True, text=True, errors="replace")

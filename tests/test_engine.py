@@ -5,6 +5,7 @@ import io
 import json
 import math
 import random
+import subprocess
 import tarfile
 import unicodedata
 import zipfile
@@ -160,6 +161,35 @@ def test_every_pattern_passes_its_gate(spark):
     assert "Generic Secret Assignment" in {r.type for r in detect.scan(rows, pii={}).collect()}
 
 
+def test_scripts(spark):
+    source = "// c\nconst k = 'tok';\n/* a\n b */\nfetch(u, k);\ndescribe('x', () => {\n  const y = 'tok';\n});\nfunction go() {\n  let t = '{ // no';\n  send(t);\n}\n"
+    assert [n for n in range(0, 14) if code.script_noise(source, n)] == [1, 3, 4, 7]
+    assert code.script_names(source, "tok") == (["k", "y"], ["fetch"])
+    rows = spark.createDataFrame([("a.js", source, n, "tok") for n in (1, 2, 7)] + [("a.py", "k = 'tok'\nprint(k)", 1, "tok"), ("a.js", None, 1, None)], "file string, text string, line int, match string")
+    assert {(r.file, r.line) for r in code.context_filter(rows.where("text is not null"), "file").collect()} == {("a.js", 2), ("a.py", 1)}
+    got = {(r.file, r.line): (r.tainted_vars, r.calls) for r in code.syntax_taint(rows.where("text is not null"), "file").collect()}
+    assert got["a.js", 2] == (["k", "y"], ["fetch"]) and got["a.py", 1] == (["k"], ["print"])
+    assert code.syntax_taint(rows.where("text is null"), "file").first().calls == []
+
+
+def test_recognisers(spark):
+    rows = spark.createDataFrame([(1, "She saw HIM, the hero"), (2, ""), (3, None)], "id int, content string")
+    assert [(r.id, r.type, r.match) for r in detect.recognise(rows).collect()] == [(1, "PRONOUN", "She"), (1, "PRONOUN", "HIM")]
+    assert detect.recognise(rows, lambda texts: [[("NAME", t)] for t in texts], prefix="Model:").where("type = 'Model:NAME'").count() == 3
+
+
+def test_git_history(spark, tmp_path):
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b.co", *a], check=True, capture_output=True)
+    git("init", "-q")
+    for k in range(3):
+        (tmp_path / "a.txt").write_text(f"key{k} = AKIA123456789{k}ABCDEF\n")
+        git("add", ".")
+        git("commit", "-qm", f"c{k}")
+    found = scans.history(readers.git_patches(spark, str(tmp_path)), pii={}, injections={}).collect()
+    assert {(r.file, r.match) for r in found if r.type == "AWS Access Key ID"} == {("a.txt", f"AKIA123456789{k}ABCDEF") for k in range(3)}
+    assert readers.git_patches(spark, str(tmp_path), since="HEAD~1").select("commit").distinct().count() == 1
+
+
 def test_excluded_folders(spark):
     rows = spark.createDataFrame([(x,) for x in ("a/node_modules/x.js", "node_modules/x.js", "a/skip/b.py", "a/b.lock/c.py", ".git/c", "sub/.git/c", "ok.py")], "label string")
     got = {r.label for r in readers.excluded(rows, "", ["node_modules/", "skip", "*.lock"]).collect()}
