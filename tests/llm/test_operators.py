@@ -596,3 +596,32 @@ def test_pipeline(spark):
     rejected = {r.doc_id for r in benchmark.contaminated(docs, spark.read.parquet(f"{SMALL}/benchmark.parquet")).collect()}
     assert not rejected & {r.doc_id for r in out.collect()}
     assert len(queries.QUERIES) == 10
+
+
+def test_no_folder_of_one_machine_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from siftspark.llm import common
+
+    fake = lambda master, at=None: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: at or d), sparkContext=SimpleNamespace(master=master))
+    assert common.shared_dir(fake("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    assert common.shared_dir(fake("local[4]"))
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_dir(fake(master))
+
+
+def test_free_names(spark):
+    from siftspark.llm import common
+
+    assert common.fresh(spark.createDataFrame([(1, 2)], "A int, a_ int"), "a") == "a__"
+
+
+def test_hot_keys_are_joined_whole(spark):
+    from siftspark.llm import common
+
+    left = spark.createDataFrame([(k if k % 3 else 0, k) for k in range(300)] + [(None, -1)], "k int, v int")
+    right = left.groupBy("k").agg(F.count("*").alias("n")).where("k is null or k % 2 = 0").withColumn("w", F.col("k") * 10)
+    want = sorted((r.k, r.v, r.w) for r in left.join(right, "k").collect())
+    for most in (1, 2, 50, 1000):
+        assert sorted((r.k, r.v, r.w) for r in common.join_counted(left, right, ["k"], 301, most).collect()) == want
