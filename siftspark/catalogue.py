@@ -446,7 +446,7 @@ def top_assets(spark, sf_dir):
     return risk.top_assets(risk.correlate(findings(spark, sf_dir).transform(risk.evidence).transform(risk.score))).select("asset", "max_score")
 
 
-_LABELS = {"history/secrets": "History Secret", "history/pii": "History PII", "history/entropy": "History Entropy", "tree/current_secrets": "Tree Secret", "tree/nlp_pii": "NLP PII", "crosscheck": "PS Crosscheck", "semgrep": "Semgrep SAST"}
+_LABELS = A.FLAT
 
 
 @query(f"""SELECT CASE source {' '.join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in _LABELS.items())} END AS category, coalesce(file, 'unknown') AS file, CASE WHEN source = 'tree/nlp_pii' THEN '?' ELSE coalesce(CAST(line AS VARCHAR), '?') END AS line,

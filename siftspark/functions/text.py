@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftspark.functions import patterns as P
 
+# What ends a line, and the form of a UUID.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 
@@ -73,6 +74,7 @@ def escape_html(c: Column) -> Column:
 
 def sanitize(c: Column) -> Column:
     """Live injections are replaced by signs that they were there; the rest is escaped for HTML."""
+    # Patterns and their signs.
     for pattern, sign in (
         (r"(?i)ignore\s+(all\s+)?previous\s+instructions", "[INJECTION_BLOCKED]"), (r"<\|im_start\|>|<\|im_end\|>", "[DELIM_BLOCKED]"),
         (r"(?i)(you\s+are\s+now\s+)", "[OVERRIDE_BLOCKED] "), (r"(?i)(act\s+as\s+)", "[ROLE_BLOCKED] "), (P.INJECTIONS["PROMPT_LEAK_REQUEST"], "[LEAK_BLOCKED]"),
