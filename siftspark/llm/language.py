@@ -123,7 +123,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     drawn = drawn.join(F.broadcast(shares), "lang") if langs <= FEW else join_counted(drawn, shares, ["lang"], rows.count())
     chosen = drawn.where(F.col("draw") < F.col("share") * (1 << 40))
     chosen = F.broadcast(chosen.select("id", "lang").distinct())  # about `sample` rows
-    rows = rows.join(chosen, ["id", "lang"])
+    rows = rows.join(chosen, ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))  # an id in very many rows is one of them
 
     def counts(frames):
         for frame in frames:
