@@ -157,7 +157,8 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, share: float
     if not known:
         return spark.createDataFrame([], names)
     part = F.coalesce(*[F.when(F.col("dim") == d, F.lit(min(1.0, SAMPLE / len(known) / n))) for d, n in known.items()], F.lit(0.0))
-    some = sized.where(F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1 << 30)) < part * (1 << 30)).select("dim", "v").toArrow()
+    some = sized.where(F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1 << 30)) < part * (1 << 30))
+    some = some.groupBy("dim", "vec_id").agg(F.min("v").alias("v")).orderBy("dim", "vec_id").select("dim", "v").toArrow()  # an id in very many rows is one of them
     indexes = {}
     for d, n in known.items():
         own = some.filter(np.asarray(some["dim"]) == d)["v"].combine_chunks() if len(some) else []
