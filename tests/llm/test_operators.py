@@ -625,3 +625,17 @@ def test_hot_keys_are_joined_whole(spark):
     want = sorted((r.k, r.v, r.w) for r in left.join(right, "k").collect())
     for most in (1, 2, 50, 1000):
         assert sorted((r.k, r.v, r.w) for r in common.join_counted(left, right, ["k"], 301, most).collect()) == want
+
+
+def test_samples_hold_an_id_once(spark):
+    docs = spark.createDataFrame([(k, f"good words {k} here", "en") for k in range(40)] + [(7, f"bad words {k}", "en") for k in range(300)], "doc_id long, text string, lang string")
+    rows = []
+    keep = lambda found: rows.append(len(found)) or language.Model([], np.zeros((1, 0)), np.zeros(0), np.zeros((1, 0)), 0.0)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(language, "train", keep)
+        m.setattr(quality, "train", keep)
+        language.fit(docs, sample=10_000)
+        quality.fit(docs, spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int"))
+    assert rows == [40, 40]
+    v = spark.createDataFrame([(k % 50, [float(k), 1.0]) for k in range(400)] + [(50, [float(k), 2.0]) for k in range(400)], "vec_id long, v array<double>")
+    assert {r.query_id for r in vectors.search(v, v.where("vec_id = 50")).collect()} == {50}
