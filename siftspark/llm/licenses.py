@@ -14,7 +14,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftspark.llm.common import durable, let
+from siftspark.llm.common import durable, join_counted, let
 
 THRESHOLD = 0.5
 #: Words of a window, and from one window to the next: narrow ones for short notices inside of prose, wide ones for long
@@ -91,7 +91,8 @@ def detect(files: DataFrame, templates: dict[str, str] | None = None, threshold:
     match = a.join(F.broadcast(b), "word").groupBy("h", "license").agg(F.sum(F.col("x") * F.col("y")).alias("score"))  # templates are a fixed list
     best = match.groupBy("h").agg(F.max(F.struct(F.round("score", 9).alias("score"), F.lit(None).cast("string").alias("_"))).alias("top"), F.collect_list(F.struct("license", F.round("score", 9).alias("score"))).alias("all"))
     best = best.select("h", F.col("top.score").alias("score"), F.array_min(F.transform(F.filter("all", lambda x: x.score == F.col("top.score")), lambda x: x.license)).alias("license")).where(F.col("score") >= threshold)
-    per = found.join(best, "h").groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("m"))
+    # a header may stand in very many files
+    per = join_counted(found.select("h", "path"), best.join(kinds.select("h", "n"), "h"), ["h"], found.count()).groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("m"))
     return per.select("path", F.col("m.license").alias("license"), (-F.col("m.s")).alias("score"))
 
 

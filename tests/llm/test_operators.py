@@ -354,6 +354,7 @@ def test_mixing(spark):
     got = mixing.mix(odd.unionByName(odd.limit(2)).unionByName(odd.limit(1).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit(None).cast("string"))), {"big": 5.0, None: 5.0})
     assert got.columns == ["doc_id", "source", "text", "row", "table", "draws", "times", "_source", "copy", "shuffle_key"] and got.count() > 20
     assert got.groupBy("doc_id", "copy").count().where("doc_id is not null and count > 2").count() == 0
+    assert a.equals(mixing.mix(docs, {"big": 1.0, None: 3.0}, few=0).toPandas())  # sources beyond a broadcast
     many = mixing.mix(spark.createDataFrame([(k, "x", "rare" if k == 0 else "other") for k in range(2000)], "doc_id long, text string, source string"), {"rare": 1.0})
     assert abs(many.count() - 2000) < 250  # a mean over STEP is a sum of draws
     n = spark.range(4000).select(F.size(F.filter(mixing.poisson_table(F.lit(2.5)), lambda c: c <= mixing.uniform(F.col("id").cast("string")))).alias("n")).agg(F.avg("n"), F.var_pop("n")).first()
