@@ -54,15 +54,20 @@ def whole(tokens: Column) -> Column:
     return F.filter(tokens, lambda w: w != "")
 
 
+def _prints(tokens: Column) -> Column:
+    """A hash of each word. The hash of a window is that of its words' hashes, as an array or one by one."""
+    return F.transform(tokens, lambda t: F.xxhash64(t))
+
+
 def _windows(tokens: Column, widths: list[int]) -> Column:
     """(w, i, h) of every window of each width."""
     def of(t, w):
-        at = F.sequence(F.lit(1), F.size(t) - (w - 1))
-        return F.when(F.size(t) >= w, F.transform(at, lambda i: F.struct(F.lit(w).alias("w"), (i - 1).alias("i"), F.xxhash64(F.slice(t, i, w)).alias("h"))))
+        at = F.sequence(F.lit(0), F.size(t) - w)
+        return F.when(F.size(t) >= w, F.transform(at, lambda i: F.struct(F.lit(w).alias("w"), i.alias("i"), F.xxhash64(*[F.get(t, i + k) for k in range(w)]).alias("h"))))
 
     if len(widths) == 1:
-        return let(tokens, lambda t: of(t, widths[0]))
-    return let(tokens, lambda t: F.flatten(F.array_compact(F.array(*[of(t, w) for w in widths]))))
+        return let(_prints(tokens), lambda t: of(t, widths[0]))
+    return let(_prints(tokens), lambda t: F.flatten(F.array_compact(F.array(*[of(t, w) for w in widths]))))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -85,7 +90,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataF
     literal = lambda t: F.size(F.filter(t, lambda w: ~w.isin(NUMBER, UNIT, NAME)))
     part = F.posexplode(F.transform(F.sequence(F.lit(1), F.size("tokens") - F.col("width") + 1), lambda i: F.struct(F.slice("tokens", i, F.col("width")).alias("t"), F.slice("raw", i, F.col("width")).alias("r"))))
     own = own.select("item_id", "width", part.alias("at", "w")).select("item_id", "width", "at", F.col("w.t").alias("t"), F.col("w.r").alias("r"))
-    own = own.where(literal(F.col("t")) >= F.least(F.lit(LITERAL), F.col("width"))).select("item_id", "width", "at", "r", "t", F.xxhash64("t").alias("h")).distinct()
+    own = own.where(literal(F.col("t")) >= F.least(F.lit(LITERAL), F.col("width"))).select("item_id", "width", "at", "r", "t", F.xxhash64(_prints(F.col("t"))).alias("h")).distinct()
     own = durable(own.withColumn("typed", literal(F.col("t")) < F.col("width")), "windows")
     total = own.groupBy("item_id").agg(F.countDistinct("at").alias("total"))
     small = F.broadcast if own.count() <= FEW else (lambda df: df)
@@ -101,7 +106,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataF
     asked = F.broadcast(asked) if hits.where("typed").count() <= FEW else asked  # some 40 bytes a hit
     texts = read.withColumn("part", F.xxhash64("text")).join(asked, ["doc_id", "part"]).select("doc_id", "part", "asked", words(values(F.col("text"))).alias("raw"), words(template(F.col("text"))).alias("tokens"))
     cut = lambda name: F.slice(name, F.col("a.i") + 1, F.col("a.width"))
-    there = texts.select("doc_id", "part", "raw", "tokens", F.explode("asked").alias("a")).select("doc_id", "part", "a.item_id", "a.at", "a.i", F.col("a.h").alias("h"), cut("raw").alias("y"), F.xxhash64(cut("tokens")).alias("g")).where("g = h")
+    there = texts.select("doc_id", "part", "raw", "tokens", F.explode("asked").alias("a")).select("doc_id", "part", "a.item_id", "a.at", "a.i", F.col("a.h").alias("h"), cut("raw").alias("y"), F.xxhash64(_prints(cut("tokens"))).alias("g")).where("g = h")
     zipped = there.join(small(own.select("item_id", "at", "h", "t", "r")), ["item_id", "at", "h"])
     pairs = F.filter(F.arrays_zip("t", "r", "y"), lambda z: z["t"].isin(NUMBER, UNIT, NAME))
     pairs = zipped.select("doc_id", "part", "item_id", "at", "i", F.transform(pairs, lambda z: F.struct(z["r"].alias("x"), z["y"].alias("y"))).alias("slots"))
