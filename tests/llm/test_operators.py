@@ -134,6 +134,17 @@ def test_repeats(spark, texts, crowd, monkeypatch):
     assert both.doc_id is None and both.n_removed == 500
 
 
+def test_repeats_query_holds_what_is_left(spark, tmp_path):
+    passage = "".join(random.Random(4).choices("abcdefgh ", k=400))
+    one, two = "\u00e9", "\u0129"  # C3 A9 and C4 A9: the repeat starts inside of a character
+    texts = [f"{one}{passage} own", f"before {two}{passage}", "other", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op4_repeats(spark, str(tmp_path)).collect()}
+    assert [got[k].n_removed for k in range(4)] == [401, 401, 0, 0]
+    assert [got[k].text for k in range(4)] == ["\ufffd own", "before \ufffd", "other", ""]
+    assert got[0].kept_sha256 == hashlib.sha256(b"\xc3 own").hexdigest()
+
+
 def test_runs_of_one_hash_are_told_apart_by_their_bytes(spark):
     """Two texts that a polynomial hash modulo 2^64 can't tell apart: nothing repeats."""
     c = np.ones(1, int)
